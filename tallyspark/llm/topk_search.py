@@ -151,8 +151,8 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-with vectors as (select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as double)) as v from embeddings
-  where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+with vectors as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as double)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 scored as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score from vectors q join vectors c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
 select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
 from scored qualify rank <= 5
