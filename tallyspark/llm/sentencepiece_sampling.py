@@ -106,22 +106,24 @@ class Lattice:
         codes = np.frombuffer("".join(units).encode("utf-32-le"), "<u4")
         self.sizes = np.array([len(u) for u in units], np.int64)
         self.ends = np.cumsum(self.sizes)
-        n, width = len(codes), v.longest
+        n = len(codes)
         left = np.repeat(self.ends, self.sizes) - np.arange(n)
-        self.symbols = np.full((n, width), -1, np.int32)
-        weights = np.full((n, width), -np.inf, np.float32)
-        at, h = np.arange(n), np.zeros(n, np.uint64)
-        for k in range(width):
+        at, h, edges = np.arange(n), np.zeros(n, np.uint64), []
+        for k in range(v.longest):
             h = h * STEP + codes[at + k] + np.uint64(1)
             found = v.find(h)
-            ids = np.where(found >= 0, v.ids[found], -1)
-            real = ids >= 0
-            self.symbols[at[real], k] = ids[real]
-            weights[at[real], k] = v.weights[found[real]]
-            on = (found >= 0) & (left[at] > k + 1)
+            real = np.flatnonzero(found >= 0)
+            at, h, found = at[real], h[real], found[real]
+            real = v.ids[found] >= 0
+            edges.append((at[real], v.ids[found[real]], v.weights[found[real]]))
+            on = left[at] > k + 1
             at, h = at[on], h[on]
             if not len(at):
                 break
+        width = max((k + 1 for k, e in enumerate(edges) if len(e[0])), default=1)
+        self.symbols, weights = np.full((n, width), -1, np.int32), np.full((n, width), -np.inf, np.float32)
+        for k, (at, ids, w) in enumerate(edges[:width]):
+            self.symbols[at, k], weights[at, k] = ids, w
         bare = np.flatnonzero(self.symbols[:, 0] < 0)
         self.symbols[bare, 0] = v.n + codes[bare].astype(np.int32)
         weights[bare, 0] = v.floor * (1 + (codes[bare] > 0x7F) + (codes[bare] > 0x7FF) + (codes[bare] > 0xFFFF))
@@ -253,10 +255,9 @@ class Sampler:
         occurrence, at = occurrence[on], at[on]
         while len(at):
             u = uniform(self.keys[self.text[occurrence]], number, self.shift[occurrence] + at - self.begin[occurrence], 0)
+            # The last edge's sum is 1, and a length without an edge has the sum of the one before: it is never drawn.
             sums = self.lattice.sums[at]
-            k = (sums < u[:, None]).sum(1)
-            # The sums are rounded: an edge that is none has the sum of the one before.
-            k = np.minimum(k, (sums < sums[:, -1:]).sum(1))
+            k = np.count_nonzero(sums < u[:, None].astype(np.float32), axis=1)
             here = np.arange(len(k))
             p = sums[here, k] - np.where(k > 0, sums[here, k - 1], 0)
             got.append((occurrence, np.full(len(at), step), at, k + 1, np.log(np.maximum(p, 1e-30))))
