@@ -8,9 +8,11 @@ segment, even where each leaves out its SPARE costliest segments. Costs allocate
 segments of either kind a band has follows from the rows they index and the accidental matches they
 let through; which segments a set leaves out follows from how many sets share them.
 
-Sets that are equal are one node. Nodes that share a segment are not paired all with all: each is
-compared exactly with the least of them, links join nodes into components, and only pairs that share a
-segment but are not yet in one component are compared after that. So components are those of all links.
+Sets that are equal are one node. Nodes that share a segment are not paired all with all: each meets a few
+centres among them, links join nodes into components, and only nodes that share a segment but are
+not yet in one component meet after that, first the closest of each component. So components are those
+of all links. Pairs meet by sketch: of a fixed number of groups of tokens, those with an odd count in just one
+of two sets are at most as many as the tokens in which the sets differ. Who passes is compared exactly.
 Tables are cut to those keys that matter by bitmaps of a fixed size, and keys that many share are
 combined before each shuffle.
 
@@ -29,12 +31,12 @@ from math import exp
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import MIX, components, cut, mix, ship, table
 
-SPARE, GROWTH, PENALTY, CHUNK = 2, 1.25, 400.0, 4_000_000
+SPARE, GROWTH, PENALTY, CHUNK, WORDS, CENTRES = 2, 1.25, 400.0, 4_000_000, 16, 3
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -156,22 +158,29 @@ def lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(values.astype(np.uint64).view(np.int64)))
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """One bit for each of 64 * WORDS groups of tokens: whether the set holds an odd number of the group."""
+    odd = np.bincount((tokens % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def digested(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, two fingerprints of the set, keys."""
-    schema = "doc_id long, n_shingles long, f1 long, f2 long, ones array<long>, twos array<long>, deleted array<long>"
+    """docs (doc_id, text) -> doc_id, n_shingles, two fingerprints of the set, keys, sketch."""
+    schema = "doc_id long, n_shingles long, f1 long, f2 long, ones array<long>, twos array<long>, deleted array<long>, sketch array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 1024):
                 batch = whole.slice(at, 1024)
-                sizes, f1, f2, keys = [], [], [], []
+                sizes, f1, f2, keys, sketches = [], [], [], [], []
                 for tokens in token_sets(batch.column(1), n):
                     sizes.append(len(tokens))
                     f1.append(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
                     f2.append(mix(tokens + np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64))
                     keys.append(signatures(tokens, percent))
+                    sketches.append(sketch(tokens))
                 as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), as_long(f1), as_long(f2), *(lists([k[i] for k in keys]) for i in range(3))], ["doc_id", "n_shingles", "f1", "f2", "ones", "twos", "deleted"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), as_long(f1), as_long(f2), *(lists([k[i] for k in keys]) for i in range(3)), lists(sketches)], ["doc_id", "n_shingles", "f1", "f2", "ones", "twos", "deleted", "sketch"])
 
     return docs.mapInArrow(run, schema)
 
@@ -186,14 +195,21 @@ def with_tokens(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, tokens array<long>")
 
 
-def may_hold(rows: DataFrame, column: str, keys: DataFrame, words: int = 1 << 18) -> DataFrame:
-    """Those rows whose column may be among the keys, by a bitmap of 64 * words bits: at most that many rows are broadcast, however many keys."""
-    hashed = lambda c: F.xxhash64(c)
-    slot, bit = lambda c: F.pmod(F.shiftrightunsigned(hashed(c), 6), F.lit(words)), lambda c: hashed(c).bitwiseAND(63).cast("int")
-    key = F.col(keys.columns[0])
+def mark_held(rows: DataFrame, column: str, keys: DataFrame, words: int = 1 << 18) -> DataFrame:
+    """Adds _held: whether the column may be among the keys (never false if it is), by a bitmap of 64 * words bits.
+
+    At most that many words are broadcast, however many keys there are; rows are not shuffled.
+    """
+    slot, bit = lambda c: F.pmod(F.shiftrightunsigned(F.xxhash64(c), 6), F.lit(words)), lambda c: F.xxhash64(c).bitwiseAND(63).cast("int")
+    key, c = F.col(keys.columns[0]), F.col(column)
     bitmap = keys.select(slot(key).alias("_slot"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(key)).alias("_bit")).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
-    c = F.col(column)
-    return rows.withColumn("_slot", slot(c)).join(F.broadcast(bitmap), "_slot").where(F.getbit("_bits", bit(c)) == 1).drop("_slot", "_bits")
+    marked = rows.withColumn("_slot", slot(c)).join(F.broadcast(bitmap), "_slot", "left")
+    return marked.withColumn("_held", F.coalesce(F.getbit("_bits", bit(c)) == 1, F.lit(False))).drop("_slot", "_bits")
+
+
+def may_hold(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows that mark_held marks."""
+    return mark_held(rows, column, keys).where("_held").drop("_held")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -206,6 +222,17 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     return both.where(100 * shared >= percent * (F.size("s") + F.size("t") - shared)).select("a", "b").distinct()
 
 
+def odd(a: str, b: str) -> Column:
+    """In how many groups of tokens just one of two sketches is odd."""
+    return sum((F.bit_count(F.col("s" + a)[i].bitwiseXOR(F.col("s" + b)[i])) for i in range(WORDS)), F.lit(0))
+
+
+def near(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and sketches allow the similarity."""
+    m, n = F.col("n" + a), F.col("n" + b)
+    return (F.least(m, n) * 100 >= F.greatest(m, n) * percent) & (odd(a, b) * (100 + percent) <= (m + n) * (100 - percent))
+
+
 def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id: components of links of at least percent / 100 similarity."""
     ship(docs.sparkSession)
@@ -214,33 +241,40 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     sets = ["f1", "f2", "n_shingles"]
     filled = found.where("n_shingles > 0")
     classes = cut(filled.groupBy(*sets).agg(F.min("doc_id").alias("node")))
-    nodes = cut(filled.withColumnRenamed("doc_id", "node").join(classes, [*sets, "node"], "left_semi").select("node", "n_shingles", "ones", "twos", "deleted"))
+    nodes = cut(filled.withColumnRenamed("doc_id", "node").join(classes, [*sets, "node"], "left_semi").select("node", "n_shingles", "ones", "twos", "deleted", "sketch"))
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("keys")) for k, c in ((0, "ones"), (1, "twos"), (2, "deleted"))])
-    rows = nodes.select("node", "n_shingles", F.explode(kinds).alias("k")).select("node", "n_shingles", F.col("k.kind").alias("kind"), F.explode("k.keys").alias("key"))
+    rows = nodes.select("node", F.explode(kinds).alias("k")).select("node", F.col("k.kind").alias("kind"), F.explode("k.keys").alias("key"))
     shared = cut(rows.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("times"), F.min("kind").alias("least")).where("a <> b and least < 2"))
     # Keys of two rows are a pair; the rows of the others are fetched.
     light = shared.where("times = 2").select("a", "b")
-    often = shared.where("times > 2").select("key", "a", "times")
+    often = shared.where("times > 2").select("key", "times")
     heavy = may_hold(rows, "key", often.select("key")).join(often, "key")
     costly = Window.partitionBy("node", F.col("key").bitwiseAND(3), F.col("kind") == 0).orderBy(F.desc("times"), "key")
     heavy = cut(heavy.withColumn("left_out", (F.col("kind") == 0) & (F.row_number().over(costly) <= SPARE)))
-    used = heavy.groupBy("key").agg(F.max(~F.col("left_out")).alias("used")).where("used").select("key")
-    heavy = heavy.join(used, "key", "left_semi")
-    alike = lambda p: p.where(F.least("m", "n") * 100 >= F.greatest("m", "n") * percent).select("a", "b")
-    sizes = nodes.select("node", "n_shingles").distinct()
-    stars = heavy.where("node <> a").select("a", F.col("node").alias("b"))
-    pairs = light.union(stars).distinct().join(sizes.toDF("a", "m"), "a").join(sizes.toDF("b", "n"), "b")
-    links = cut(verified(cut(alike(pairs)), docs, n, percent))
+    orders = [F.struct(F.xxhash64("node", F.lit(i)), "node") for i in range(CENTRES)]
+    centres = heavy.groupBy("key").agg(F.max(~F.col("left_out")).alias("used"), F.array(*[F.min(o)["node"] for o in orders]).alias("centres")).where("used").select("key", F.explode(F.array_distinct("centres")).alias("c"))
+    stars = heavy.join(centres, "key").where("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
+    known = nodes.select("node", "n_shingles", "sketch").dropDuplicates(["node"])
+    about = lambda x: known.toDF(x, "n" + x, "s" + x)
+    pairs = light.union(stars).distinct().join(about("a"), "a").join(about("b"), "b")
+    links = cut(verified(cut(pairs.where(near("a", "b", percent)).select("a", "b")), docs, n, percent))
     joined = cut(components(links))
-    placed = heavy.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("key")
-    open_ = cut(placed.join(mixed, "key", "left_semi").select("key", "node", "n_shingles", "component", "kind", "left_out"))
-    one, two = (open_.select("key", *[F.col(c).alias(c + x) for c in open_.columns[1:]]) for x in "12")
-    across = one.join(two, "key").where("node1 < node2 and component1 <> component2 and not (left_out1 and left_out2) and (kind1 < 2 or kind2 < 2)")
-    across = across.where(F.least("n_shingles1", "n_shingles2") * 100 >= F.greatest("n_shingles1", "n_shingles2") * percent)
-    more = cut(verified(cut(across.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()), docs, n, percent))
-    if not more.isEmpty():
-        joined = cut(components(links.union(more)))
+    used = centres.select("key").distinct()
+    heavy = cut(heavy.join(used, "key", "left_semi").join(known, "node"))
+    for closest in (True, False):
+        placed = heavy.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("key")
+        open_ = placed.join(mixed, "key", "left_semi").select("key", "node", "n_shingles", "sketch", "component", "kind", "left_out")
+        one, two = (open_.toDF("key", x, "n" + x, "s" + x, "component" + x, "kind" + x, "left_out" + x) for x in "ab")
+        meet = F.expr("a < b and componenta <> componentb and not (left_outa and left_outb) and (kinda < 2 or kindb < 2)") & near("a", "b", percent)
+        across = one.join(two, (one["key"] == two["key"]) & meet)
+        if closest:
+            across = across.groupBy("a", "componentb").agg(F.min_by("b", odd("a", "b")).alias("b"))
+        more = cut(verified(cut(across.select("a", "b").distinct()), docs, n, percent))
+        if more.isEmpty() and not closest:
+            break
+        links = links.union(more)
+        joined = cut(components(links))
     labelled = classes.join(joined, "node", "left").select(*sets, F.coalesce("component", "node").alias("component_id"))
     return found.select("doc_id", *sets).join(labelled, sets, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
