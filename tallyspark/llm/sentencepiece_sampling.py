@@ -21,6 +21,7 @@ segmentations gives all of them. Empty tables give no rows. Other columns are no
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import MIX, STEP, mix, ship, table
 
-CHUNK, BITS, SPACE = 600_000, 20, "▁"
+CHUNK, BITS, SPACE = 250_000, 20, "▁"
 
 
 class Vocabulary:
@@ -82,6 +83,10 @@ class Vocabulary:
                 return k
             k[wrong] = self.next[k[wrong]]
 
+    @functools.cached_property
+    def lattice(self) -> Lattice:
+        return Lattice(self)
+
     @functools.cached_property
     def plain(self) -> bool:
         """Whether normalising only marks spaces and adds one in front."""
@@ -99,8 +104,8 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
 
 
-class Lattice:
-    """All edges of the distinct units: per place and edge length the symbol, and sums of the conditional probabilities."""
+class Block:
+    """All edges of distinct units: per place and edge length the symbol, and sums of the conditional probabilities."""
 
     def __init__(self, units: list[str], v: Vocabulary):
         codes = np.frombuffer("".join(units).encode("utf-32-le"), "<u4")
@@ -164,6 +169,46 @@ class Lattice:
             self.sums[p] = c / c[:, -1:]
 
 
+class Lattice:
+    """The units met so far in a task, up to `limit` places: most of a chunk's units were in one before it."""
+
+    def __init__(self, v: Vocabulary, limit: int = 1_500_000):
+        self.v, self.limit = v, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.index, self.places = Index(), 0
+        self.symbols, self.sums = np.full((1 << 14, 1), -1, np.int32), np.ones((1 << 14, 1), np.float32)
+        self.starts = self.ends = np.zeros(0, np.int64)
+
+    def numbers(self, parts: list[list[str]]) -> np.ndarray:
+        """The numbers of all units of a chunk, one after another; new ones are added."""
+        if self.places > self.limit:
+            self.clear()
+        n = sum(map(len, parts))
+        out = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(parts)), np.int64, n)
+        fresh, self.index.fresh = self.index.fresh, []
+        if fresh:
+            self.add(Block([SPACE + u.replace(" ", SPACE) for u in fresh] if self.v.plain else fresh, self.v))
+        return out
+
+    def add(self, block: Block) -> None:
+        size, width = block.symbols.shape
+        room, wide = max(len(self.sums), 1 << (self.places + size).bit_length()), max(width, self.sums.shape[1])
+        if (room, wide) != self.sums.shape:
+            for name, empty in (("symbols", -1), ("sums", 1)):
+                old = getattr(self, name)
+                new = np.full((room, wide), empty, old.dtype)
+                new[: self.places, : old.shape[1]] = old[: self.places]
+                setattr(self, name, new)
+        at = slice(self.places, self.places + size)
+        self.symbols[at, :width], self.sums[at, :width] = block.symbols, block.sums
+        self.symbols[at, width:], self.sums[at, width:] = -1, 1
+        self.starts = np.concatenate([self.starts, block.starts + self.places])
+        self.ends = np.concatenate([self.ends, block.ends + self.places])
+        self.places += size
+
+
 def uniform(key: np.ndarray, number: int, place: np.ndarray, use: int) -> np.ndarray:
     """Numbers in (0, 1) from a row's key, a path's number, a place and a use."""
     h = mix(mix(key + np.uint64((number * 8 + use) * int(MIX) % 2**64)) + place.astype(np.uint64))
@@ -206,8 +251,12 @@ class Paths:
 class Index(dict):
     """Numbers its keys as they are first asked for."""
 
+    def __init__(self):
+        self.fresh: list[str] = []
+
     def __missing__(self, key: str) -> int:
         self[key] = n = len(self)
+        self.fresh.append(key)
         return n
 
 
@@ -217,12 +266,11 @@ class Sampler:
     def __init__(self, keys: np.ndarray, texts: list[str], v: Vocabulary, seed: int):
         self.v = v
         self.keys = mix(keys.astype(np.uint64) + np.uint64(seed) * STEP)
-        index = Index()
-        parts = [list(map(index.__getitem__, self.units(t))) if t else [] for t in texts]
-        self.counts = np.array([len(p) for p in parts], np.int64)
+        parts = [self.units(t) if t else [] for t in texts]
+        self.counts = np.fromiter(map(len, parts), np.int64, len(parts))
         self.firsts = np.concatenate([[0], np.cumsum(self.counts)])
-        unit = np.array([u for p in parts for u in p], np.int64)
-        self.lattice = Lattice([SPACE + u.replace(" ", SPACE) for u in index] if v.plain else list(index), v)
+        self.lattice = v.lattice
+        unit = self.lattice.numbers(parts)
         self.begin, self.end = self.lattice.starts[unit], self.lattice.ends[unit]
         self.text = np.repeat(np.arange(len(texts)), self.counts)
         size = np.cumsum(np.concatenate([[0], self.end - self.begin]))
