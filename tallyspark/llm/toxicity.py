@@ -2,7 +2,7 @@
 
 Features are the presence of lower-cased character n-grams (n from 3 to 6, hashed). Each is scaled by its
 log-count ratio, log((p + a) / |p|) - log((q + a) / |q|) with p and q the numbers of toxic and other
-texts that hold it; the `width` n-grams with the largest likelihood ratio statistic are kept, and a
+texts that hold it; of the n-grams with the largest likelihood ratio statistic at most `width` are kept, and a
 ridge-penalised logistic regression over the scaled features gives the score.
 
 Learnt from a bounded, fixed sample of labelled rows (`per_class` texts of each class, of at most
@@ -86,7 +86,9 @@ def fit(sample: list[tuple[str, int]], counts: dict, width: int = WIDTH) -> Mode
     part = lambda a, n: np.where(a > 0, a * np.log(np.maximum(a, 1e-9) / n), 0)
     share = total / total.sum()
     gain = part(p, (p + q) * share[1]) + part(q, (p + q) * share[0]) + part(total[1] - p, (total.sum() - p - q) * share[1] + 1e-9) + part(total[0] - q, (total.sum() - p - q) * share[0] + 1e-9)
-    best = np.sort(np.lexsort((seen, -gain))[:width])
+    # What is kept must stand out of as many n-grams as were tried; a small sample keeps few.
+    ranked = np.lexsort((seen, -gain))[:width]
+    best = np.sort(ranked[: max(64, int((gain[ranked] >= np.log(max(2, len(seen)))).sum()))])
     slots = np.full(1 << BITS, -1, np.int16)
     slots[seen[best]] = np.arange(len(best))
     ratio = ratio[best]
