@@ -19,7 +19,7 @@ not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import components, cut, ship, table
 from .topk_search import whole
 
-BLOCKS, TILE, CELL_ROWS, EPS = 8, 1024, 4096, 1e-9
+BLOCKS, TILE, CELL_ROWS, PART, EPS = 4, 8192, 4096, 512, 1e-9
 
 
 def matrix(vectors: pa.Array, width: int) -> np.ndarray:
@@ -58,7 +58,7 @@ class Subspaces:
         self.edges = np.concatenate([[0], np.cumsum([len(a) for a in self.axes])])
         spread = np.maximum([values[a].sum() for a in self.axes], 1e-9)
         self.shares = (2 - 2 * cosine) * spread / spread.sum() + EPS
-        self.grid = int(np.clip(ceil(log(max(1, count / CELL_ROWS), 4)), 1, min(6, min(map(len, self.axes)))))
+        self.grid = int(np.clip(log(max(1, count / CELL_ROWS), 8), 1, min(6, min(map(len, self.axes)))))
 
     def part(self, rotated: np.ndarray, b: int) -> np.ndarray:
         return rotated[:, self.edges[b] : self.edges[b + 1]]
@@ -100,46 +100,58 @@ def fitted(nodes: DataFrame, width: int, cosine: float, blocks: int) -> Subspace
     return Subspaces(int(s[0]), s[1 : 1 + width], s[1 + width :].reshape(width, width), cosine, blocks)
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least row that each of n rows reaches over the links (i, j)."""
-    label = np.arange(n)
+def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Roots of all rows after joining i with j; a root is its set's least row."""
     while True:
-        before = label.copy()
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-        if (label == before).all():
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
             return label
+        np.minimum.at(label, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (label[label] != label).any():
+            label = label[label]
+        i, j = i[apart], j[apart]
 
 
 def tile_links(raw: np.ndarray, chunk: np.ndarray, home: np.ndarray, weight: np.ndarray, s: Subspaces, b: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """(linked weight of each row, the row it is joined to) over those pairs of a tile that first meet in block b.
 
-    Rows of one chunk are paired with each other where the tile has one chunk, else with the other chunk's.
+    Rows of one chunk are paired with each other where the tile has one chunk, else with the other chunk's;
+    part by part, so that memory does not follow the number of links.
     """
     x = unit(raw)
     rotated = x @ s.rotation
-    part = s.part(rotated, b)
-    size = (part**2).sum(1)
+    part, norm = s.part(rotated, b), np.sqrt((raw**2).sum(1))
+    # One product in single precision gives minus half the squared distance, near enough to pass all that are in range.
+    half, ones = (part**2).sum(1, keepdims=True) / 2, np.ones((len(raw), 1))
+    left, right = (np.hstack(h).astype(np.float32) for h in ([part, -half, ones], [part, ones, -half]))
+    x32, least = x.astype(np.float32), np.float32(-s.shares[b] / 2 - 1e-5)
     one = np.flatnonzero(chunk == chunk.min())
     two = one if chunk.min() == chunk.max() else np.flatnonzero(chunk == chunk.max())
-    near = (size[one][:, None] + size[two] - 2 * part[one] @ part[two].T <= s.shares[b] + EPS) & (home[one][:, None] | home[two])
-    if two is one:
-        near = np.triu(near, 1)
-    near &= x[one] @ x[two].T >= cosine - 1e-9
-    i, j = np.nonzero(near)
-    i, j = one[i], two[j]
-    keep = np.zeros(len(i), bool)
-    norm = np.sqrt((raw**2).sum(1))
-    for at in range(0, len(i), 1 << 16):
-        p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-        ok = (raw[p] * raw[q]).sum(1) / (norm[p] * norm[q]) >= cosine
-        for c in range(b):
-            ok &= ((s.part(rotated, c)[p] - s.part(rotated, c)[q]) ** 2).sum(1) > s.shares[c]
-        keep[at : at + (1 << 16)] = ok
-    i, j = i[keep], j[keep]
-    return np.bincount(i, weight[j], len(raw)) + np.bincount(j, weight[i], len(raw)), forest(len(raw), i, j)
+    links, label = np.zeros(len(raw)), np.arange(len(raw))
+    for at in range(0, len(one), PART):
+        p = one[at : at + PART]
+        for to in range(at if two is one else 0, len(two), 4 * PART):
+            q = two[to : to + 4 * PART]
+            near = left[p] @ right[q].T >= least
+            if np.count_nonzero(near) > near.size // 50:
+                near &= x32[p] @ x32[q].T >= np.float32(cosine - 1e-5)
+            at_once = np.flatnonzero(near)
+            i, j = p[at_once // len(q)], q[at_once % len(q)]
+            ok = (home[i] | home[j]) & ((i < j) if two is one else True)
+            i, j = i[ok], j[ok]
+            keep = np.zeros(len(i), bool)
+            for low in range(0, len(i), 1 << 16):
+                u, v = i[low : low + (1 << 16)], j[low : low + (1 << 16)]
+                good = (raw[u] * raw[v]).sum(1) / (norm[u] * norm[v]) >= cosine
+                for c in range(b):
+                    good &= ((s.part(rotated, c)[u] - s.part(rotated, c)[v]) ** 2).sum(1) > s.shares[c]
+                good &= ((part[u] - part[v]) ** 2).sum(1) <= s.shares[b]
+                keep[low : low + (1 << 16)] = good
+            i, j = i[keep], j[keep]
+            links += np.bincount(i, weight[j], len(raw)) + np.bincount(j, weight[i], len(raw))
+            label = unite(label, i, j)
+    return links, label
 
 
 def near_duplicates(rows: DataFrame, cosine: float = 0.9, blocks: int = BLOCKS) -> DataFrame:
