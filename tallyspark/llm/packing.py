@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import ship, table
 
-CAPACITY, PIECE, WINDOWS, SLACK, END_ID = 1024, 256, 192, 1, 0
+CAPACITY, PIECE, WINDOWS, SLACK, END_ID = 1024, 256, 384, 2, 0
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
