@@ -27,13 +27,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there, so that a lost executor costs a reread."""
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
+    """Write df to the shared checkpoint folder and go on from there, so that a lost executor costs a reread.
+
+    Spark deletes shuffle files once the driver's collector finds that no plan needs them; free asks for a
+    collection, after a step with large ones.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tallyspark-checkpoint-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    if free:
+        sc._jvm.System.gc()
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:

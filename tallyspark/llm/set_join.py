@@ -3,10 +3,10 @@
 A text's set is its distinct word n-grams. Sets fall in bands by size. For a band, similar sets differ
 in at most h tokens in all; tokens are hashed into segments, of which a share is compared for equality
 (allocation 1) and a share up to one token, over one-deletion neighbourhoods (allocation 2), with
-allocations that sum to h + 1 + SPARE. By the pigeonhole principle two similar sets agree, so far, on some
-segment, even where each leaves out its SPARE costliest segments. Costs allocate twice: how many
+allocations that sum to h + 1 and some spare ones. By the pigeonhole principle two similar sets agree, so far, on
+one segment and the spare ones, so that a set may leave segments out. Costs allocate twice: how many
 segments of either kind a band has follows from the rows they index and the accidental matches they
-let through; which segments a set leaves out follows from how many sets share them.
+let through; which segments a set leaves out are first its empty ones, then those that most sets share.
 
 Sets that are equal are one node. Nodes that share a segment are not paired all with all: each meets a few
 centres among them, links join nodes into components, and only nodes that share a segment but are
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
-from math import exp
+from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import MIX, components, cut, mix, ship, table
 
-SPARE, GROWTH, PENALTY, CHUNK, WORDS, CENTRES = 2, 1.25, 400.0, 4_000_000, 16, 3
+GROWTH, PENALTY, CHUNK, WORDS, CENTRES, SLICES, BITMAP = 1.25, 30.0, 4_000_000, 16, 3, 6, 1 << 18
+LARGE, WIDE = 1500, 256  # sets of at least LARGE tokens have a second sketch of WIDE words
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -105,34 +106,43 @@ def band_starts(growth: float = GROWTH) -> np.ndarray:
 
 
 @functools.lru_cache(None)
-def allocation(band: int, percent: int) -> tuple[int, int]:
-    """(segments of allocation 2, of allocation 1) of a band, the cheapest by rows to index and accidental matches. (0, 0): only equal sets."""
+def allocation(band: int, percent: int) -> tuple[int, int, int, int]:
+    """(segments of allocation 2, of allocation 1, spare ones for empty segments, for costly ones) of a band; all 0: only equal sets.
+
+    The cheapest by rows to index and accidental matches.
+    """
     starts = band_starts()
     low, high = int(starts[band]), int(starts[band + 1]) - 1
     differ = (high + high * 100 // percent) * (100 - percent) // (100 + percent)
     if differ == 0:
-        return 0, 0
-    need, best = differ + 1 + SPARE, None
-    for twos in sorted({*range(min(need // 2, 8) + 1), need // 4, need // 2}):
-        ones = need - 2 * twos
-        filled = low / (ones + twos)
-        cost = ones + twos * (1 + filled) + PENALTY * (ones + twos) * exp(-filled)
-        if best is None or cost < best[0]:
-            best = cost, twos, ones
-    return best[1], best[2]
+        return 0, 0, 0, 0
+    costly, best = 2 + differ // 10, None
+    for twos in {0, 1, 2, 4, (differ + costly) // 4, (differ + costly) // 2}:
+        empty = 0
+        for _ in range(8):
+            n = twos + max(0, differ + 1 + costly + empty - 2 * twos)
+            often = n * exp(-low / n)
+            empty = min(n, ceil(often + 4 * sqrt(often)))
+        ones = max(0, differ + 1 + costly + empty - 2 * twos)
+        filled = low / (twos + ones)
+        cost = ones + twos * (1 + filled) + PENALTY * (twos + ones) * exp(-1.2 * filled)
+        if best is None or (cost, twos) < best[:2]:
+            best = cost, twos, ones, empty
+    return best[1], best[2], best[3], costly
 
 
 def signatures(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of a set's segments in every band where similar sets may meet it: of allocation 1, of allocation 2, and of one-deletion neighbours.
 
-    A key's lowest two bits tell the band from the next ones.
+    A key's lowest two bits tell the band from the next ones. Empty segments of allocation 1 are left out
+    where they are no more than the band's spare ones: similar sets then agree on enough others.
     """
     n, starts = len(tokens), band_starts()
     ones, twos, deleted = [], [], []
     first, last = np.searchsorted(starts, [-(-n * percent // 100), n], "right") - 1
     value = mix(tokens + MIX)
     for band in range(max(0, int(first)), int(last) + 1):
-        n2, n1 = allocation(band, percent)
+        n2, n1, spare, _ = allocation(band, percent)
         if not n1 + n2:
             continue
         segment = ((tokens >> np.uint64(20)) % np.uint64(n1 + n2)).astype(np.int64)
@@ -140,11 +150,13 @@ def signatures(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[order], dtype=np.uint64)])
         bounds = np.searchsorted(segment[order], np.arange(n1 + n2 + 1))
         total = total[bounds[1:]] - total[bounds[:-1]]
+        filled = np.diff(bounds[n2:]) > 0
+        filled |= n1 - np.count_nonzero(filled) > spare
         seed = mix(np.arange(n1 + n2, dtype=np.uint64) + np.uint64((band + 1) << 40))
         as_key = lambda x, b=band: (mix(x) << np.uint64(2)) | np.uint64(b & 3)
         keys = as_key(total + seed)
         twos.append(keys[:n2])
-        ones.append(keys[n2:])
+        ones.append(keys[n2:][filled])
         if n2:
             at = order[: bounds[n2]]
             deleted.append(as_key((total + seed)[segment[at]] - value[at]))
@@ -158,29 +170,30 @@ def lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(values.astype(np.uint64).view(np.int64)))
 
 
-def sketch(tokens: np.ndarray) -> np.ndarray:
-    """One bit for each of 64 * WORDS groups of tokens: whether the set holds an odd number of the group."""
-    odd = np.bincount((tokens % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+def sketch(tokens: np.ndarray, words: int) -> np.ndarray:
+    """One bit for each of 64 * words groups of tokens: whether the set holds an odd number of the group."""
+    odd = np.bincount((tokens % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
 def digested(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, two fingerprints of the set, keys, sketch."""
-    schema = "doc_id long, n_shingles long, f1 long, f2 long, ones array<long>, twos array<long>, deleted array<long>, sketch array<long>"
+    schema = "doc_id long, n_shingles long, f1 long, f2 long, ones array<long>, twos array<long>, deleted array<long>, sketch array<long>, wide array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 1024):
                 batch = whole.slice(at, 1024)
-                sizes, f1, f2, keys, sketches = [], [], [], [], []
+                sizes, f1, f2, keys, sketches, wides = [], [], [], [], [], []
                 for tokens in token_sets(batch.column(1), n):
                     sizes.append(len(tokens))
                     f1.append(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
                     f2.append(mix(tokens + np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64))
                     keys.append(signatures(tokens, percent))
-                    sketches.append(sketch(tokens))
+                    sketches.append(sketch(tokens, WORDS))
+                    wides.append(sketch(tokens, WIDE) if len(tokens) >= LARGE else tokens[:0])
                 as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), as_long(f1), as_long(f2), *(lists([k[i] for k in keys]) for i in range(3)), lists(sketches)], ["doc_id", "n_shingles", "f1", "f2", "ones", "twos", "deleted", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), as_long(f1), as_long(f2), *(lists([k[i] for k in keys]) for i in range(3)), lists(sketches), lists(wides)], ["doc_id", "n_shingles", "f1", "f2", "ones", "twos", "deleted", "sketch", "wide"])
 
     return docs.mapInArrow(run, schema)
 
@@ -195,7 +208,7 @@ def with_tokens(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, tokens array<long>")
 
 
-def mark_held(rows: DataFrame, column: str, keys: DataFrame, words: int = 1 << 18) -> DataFrame:
+def mark_held(rows: DataFrame, column: str, keys: DataFrame, words: int = BITMAP) -> DataFrame:
     """Adds _held: whether the column may be among the keys (never false if it is), by a bitmap of 64 * words bits.
 
     At most that many words are broadcast, however many keys there are; rows are not shuffled.
@@ -214,8 +227,10 @@ def may_hold(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose sets are similar, from the whole texts of the rows they name."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = may_hold(docs.where("doc_id is not null"), "doc_id", named).join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    named = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    texts = may_hold(docs.where("doc_id is not null"), "doc_id", named)
+    if named.count() > 8 * BITMAP:  # too many bits are set to keep out what is not named
+        texts = texts.join(named, "doc_id", "left_semi")
     sets = with_tokens(texts, n)
     both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
     shared = F.size(F.array_intersect("s", "t"))
@@ -227,35 +242,65 @@ def odd(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col("s" + a)[i].bitwiseXOR(F.col("s" + b)[i])) for i in range(WORDS)), F.lit(0))
 
 
+def spare_of(size: Column, percent: int) -> Column:
+    """How many costly segments a set of that size may leave out in any of its bands: what the lowest band allows, or less."""
+    low = F.ceil(size * percent / 100)
+    differ = (low + F.floor(low * 100 / percent)) * (100 - percent) / (100 + percent)
+    return F.greatest(2 + F.floor((F.floor(differ) - 1) / 10), F.lit(0))
+
+
 def near(a: str, b: str, percent: int) -> Column:
     """Whether sizes and sketches allow the similarity."""
-    m, n = F.col("n" + a), F.col("n" + b)
-    return (F.least(m, n) * 100 >= F.greatest(m, n) * percent) & (odd(a, b) * (100 + percent) <= (m + n) * (100 - percent))
+    m, n, v, w = F.col("n" + a), F.col("n" + b), F.col("w" + a), F.col("w" + b)
+    within = lambda apart: apart * (100 + percent) <= (m + n) * (100 - percent)
+    wide = F.aggregate(F.zip_with(v, w, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return (F.least(m, n) * 100 >= F.greatest(m, n) * percent) & within(odd(a, b)) & F.when((F.size(v) > 0) & (F.size(w) > 0), within(wide)).otherwise(True)
 
 
-def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, component_id: components of links of at least percent / 100 similarity."""
-    ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+SETS = ["f1", "f2", "n_shingles"]
+
+
+def met(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, ...]:
+    """(small: doc_id and its set's fingerprints, classes: the least id of each set as its node, known: size and sketch of the nodes,
+    light: pairs that alone share a key, heavy: the rows of keys that more share).
+
+    The keys themselves are gone from disk once this returns.
+    """
     found = cut(digested(docs, n, percent))
-    sets = ["f1", "f2", "n_shingles"]
-    filled = found.where("n_shingles > 0")
-    classes = cut(filled.groupBy(*sets).agg(F.min("doc_id").alias("node")))
-    nodes = cut(filled.withColumnRenamed("doc_id", "node").join(classes, [*sets, "node"], "left_semi").select("node", "n_shingles", "ones", "twos", "deleted", "sketch"))
+    small = cut(found.select("doc_id", *SETS))
+    classes = cut(small.where("n_shingles > 0").groupBy(*SETS).agg(F.min("doc_id").alias("node")))
+    # Rows whose set has a smaller id are few; only rows that may be such are shuffled to leave them out.
+    copies = cut(small.join(classes, SETS).where("doc_id <> node").select("doc_id", "f1", "f2").distinct())
+    marked = mark_held(found.where("n_shingles > 0 and doc_id is not null"), "doc_id", copies.select("doc_id"))
+    alone = marked.where("not _held").union(marked.where("_held").join(copies, ["doc_id", "f1", "f2"], "left_anti").select(*marked.columns))
+    nodes = alone.select(F.col("doc_id").alias("node"), "n_shingles", "ones", "twos", "deleted", "sketch", "wide")
+    known = cut(nodes.select("node", "n_shingles", "sketch", "wide").dropDuplicates(["node"]))
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("keys")) for k, c in ((0, "ones"), (1, "twos"), (2, "deleted"))])
-    rows = nodes.select("node", F.explode(kinds).alias("k")).select("node", F.col("k.kind").alias("kind"), F.explode("k.keys").alias("key"))
-    shared = cut(rows.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("times"), F.min("kind").alias("least")).where("a <> b and least < 2"))
+    rows = nodes.select("node", "n_shingles", F.explode(kinds).alias("k")).select("node", "n_shingles", F.col("k.kind").alias("kind"), F.explode("k.keys").alias("key"))
+    # In slices, so that only one slice's keys are in shuffle files at a time.
+    shared = None
+    for i in range(SLICES):
+        part = rows.where(F.pmod(F.shiftright("key", 2), F.lit(SLICES)) == i).groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("times"), F.min("kind").alias("least")).where("a <> b and least < 2")
+        part = cut(part, free=True)
+        shared = part if shared is None else shared.union(part)
     # Keys of two rows are a pair; the rows of the others are fetched.
-    light = shared.where("times = 2").select("a", "b")
+    light = cut(shared.where("times = 2").select("a", "b").distinct())
     often = shared.where("times > 2").select("key", "times")
-    heavy = may_hold(rows, "key", often.select("key")).join(often, "key")
+    heavy = may_hold(rows, "key", often.select("key")).join(often, "key").withColumn("spare", spare_of(F.col("n_shingles"), percent))
     costly = Window.partitionBy("node", F.col("key").bitwiseAND(3), F.col("kind") == 0).orderBy(F.desc("times"), "key")
-    heavy = cut(heavy.withColumn("left_out", (F.col("kind") == 0) & (F.row_number().over(costly) <= SPARE)))
+    heavy = heavy.withColumn("left_out", (F.col("kind") == 0) & (F.row_number().over(costly) <= F.col("spare")))
+    return small, classes, known, light, cut(heavy.select("key", "node", "kind", "left_out"), free=True)
+
+
+def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_shingles, component_id: components of links of at least percent / 100 similarity."""
+    ship(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    small, classes, known, light, heavy = met(docs, n, percent)
     orders = [F.struct(F.xxhash64("node", F.lit(i)), "node") for i in range(CENTRES)]
     centres = heavy.groupBy("key").agg(F.max(~F.col("left_out")).alias("used"), F.array(*[F.min(o)["node"] for o in orders]).alias("centres")).where("used").select("key", F.explode(F.array_distinct("centres")).alias("c"))
     stars = heavy.join(centres, "key").where("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
-    known = nodes.select("node", "n_shingles", "sketch").dropDuplicates(["node"])
-    about = lambda x: known.toDF(x, "n" + x, "s" + x)
+    about = lambda x: known.toDF(x, "n" + x, "s" + x, "w" + x)
     pairs = light.union(stars).distinct().join(about("a"), "a").join(about("b"), "b")
     links = cut(verified(cut(pairs.where(near("a", "b", percent)).select("a", "b")), docs, n, percent))
     joined = cut(components(links))
@@ -264,19 +309,21 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     for closest in (True, False):
         placed = heavy.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("key")
-        open_ = placed.join(mixed, "key", "left_semi").select("key", "node", "n_shingles", "sketch", "component", "kind", "left_out")
-        one, two = (open_.toDF("key", x, "n" + x, "s" + x, "component" + x, "kind" + x, "left_out" + x) for x in "ab")
+        open_ = placed.join(mixed, "key", "left_semi").select("key", "node", "n_shingles", "sketch", "wide", "component", "kind", "left_out")
+        one, two = (open_.toDF("key", x, "n" + x, "s" + x, "w" + x, "component" + x, "kind" + x, "left_out" + x) for x in "ab")
         meet = F.expr("a < b and componenta <> componentb and not (left_outa and left_outb) and (kinda < 2 or kindb < 2)") & near("a", "b", percent)
         across = one.join(two, (one["key"] == two["key"]) & meet)
         if closest:
             across = across.groupBy("a", "componentb").agg(F.min_by("b", odd("a", "b")).alias("b"))
-        more = cut(verified(cut(across.select("a", "b").distinct()), docs, n, percent))
-        if more.isEmpty() and not closest:
+        candidates = cut(across.select("a", "b").distinct())
+        if candidates.isEmpty():
             break
-        links = links.union(more)
-        joined = cut(components(links))
-    labelled = classes.join(joined, "node", "left").select(*sets, F.coalesce("component", "node").alias("component_id"))
-    return found.select("doc_id", *sets).join(labelled, sets, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        more = cut(verified(candidates, docs, n, percent))
+        if not more.isEmpty():
+            links = links.union(more)
+            joined = cut(components(links))
+    labelled = classes.join(joined, "node", "left").select(*SETS, F.coalesce("component", "node").alias("component_id"))
+    return small.join(labelled, SETS, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
