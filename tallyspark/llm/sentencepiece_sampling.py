@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import MIX, STEP, mix, ship, table
 
-CHUNK, BITS, SPACE = 250_000, 20, "▁"
+CHUNK, BITS, SPACE = 150_000, 20, "▁"
 
 
 class Vocabulary:
@@ -65,7 +65,7 @@ class Vocabulary:
         # Every prefix has an entry; those that are no piece have id -1.
         self.hashes = np.array(sorted(prefixes), np.uint64)
         got = [known.get(int(h), (-1, 0.0)) for h in self.hashes]
-        self.ids, self.weights = np.array([g[0] for g in got], np.int32), np.array([g[1] for g in got], np.float32)
+        self.ids, self.chances = np.array([g[0] for g in got], np.int32), np.exp(np.array([g[1] for g in got])).astype(np.float32)
         self.head, self.next = np.full(1 << BITS, -1, np.int32), np.full(len(self.hashes), -1, np.int32)
         for k, slot in enumerate(self.slot(self.hashes)):
             self.next[k], self.head[slot] = self.head[slot], k
@@ -120,25 +120,29 @@ class Block:
             real = np.flatnonzero(found >= 0)
             at, h, found = at[real], h[real], found[real]
             real = v.ids[found] >= 0
-            edges.append((at[real], v.ids[found[real]], v.weights[found[real]]))
+            edges.append((at[real], v.ids[found[real]], v.chances[found[real]]))
             on = left[at] > k + 1
             at, h = at[on], h[on]
             if not len(at):
                 break
         width = max((k + 1 for k, e in enumerate(edges) if len(e[0])), default=1)
-        self.symbols, weights = np.full((n, width), -1, np.int32), np.full((n, width), -np.inf, np.float32)
+        self.symbols, chance = np.full((n, width), -1, np.int32), np.zeros((n, width), np.float32)
         for k, (at, ids, w) in enumerate(edges[:width]):
-            self.symbols[at, k], weights[at, k] = ids, w
+            self.symbols[at, k], chance[at, k] = ids, w * np.exp(np.float32(3 * k + 3))
         bare = np.flatnonzero(self.symbols[:, 0] < 0)
+        spelled = np.zeros(n + 1, np.int64)
+        spelled[bare + 1] = 1 + (codes[bare] > 0x7F) + (codes[bare] > 0x7FF) + (codes[bare] > 0xFFFF)
         self.symbols[bare, 0] = v.n + codes[bare].astype(np.int32)
-        weights[bare, 0] = v.floor * (1 + (codes[bare] > 0x7F) + (codes[bare] > 0x7FF) + (codes[bare] > 0xFFFF))
+        chance[bare, 0] = np.exp(v.floor * spelled[bare + 1] + 3)
+        spelled = np.cumsum(spelled)
         self.sums = np.zeros((n, width), np.float32)
-        spelled = np.concatenate([[0], np.cumsum(np.where(self.symbols[:, 0] >= v.n, -weights[:, 0] / -v.floor, 0.0))])
         self.starts = self.ends - self.sizes
         # Short units with few bare signs can't run out of a double's range.
-        short = (self.sizes <= 48) & (np.abs(spelled[self.ends] - spelled[self.starts]) <= 4)
-        self.filter_short(np.flatnonzero(short), np.exp(weights + 3 * np.arange(1, width + 1, dtype=np.float32)))
-        self.filter_long(np.flatnonzero(~short), weights)
+        short = (self.sizes <= 48) & (spelled[self.ends] - spelled[self.starts] <= 4)
+        self.filter_short(np.flatnonzero(short), chance)
+        if not short.all():
+            with np.errstate(divide="ignore"):
+                self.filter_long(np.flatnonzero(~short), np.log(chance.astype(np.float64)) - 3 * np.arange(1, width + 1))
 
     def filter_short(self, units: np.ndarray, chance: np.ndarray) -> None:
         """Backward filtering in step from the units' ends; chances carry a factor for each sign, which cancels."""
@@ -174,11 +178,12 @@ class Lattice:
 
     def __init__(self, v: Vocabulary, limit: int = 1_500_000):
         self.v, self.limit = v, limit
+        self.symbols, self.sums = np.full((1 << 14, 1), -1, np.int32), np.ones((1 << 14, 1), np.float32)
         self.clear()
 
     def clear(self) -> None:
+        """Forgets all units; the room stays."""
         self.index, self.places = Index(), 0
-        self.symbols, self.sums = np.full((1 << 14, 1), -1, np.int32), np.ones((1 << 14, 1), np.float32)
         self.starts = self.ends = np.zeros(0, np.int64)
 
     def numbers(self, parts: list[list[str]]) -> np.ndarray:
@@ -211,7 +216,7 @@ class Lattice:
 
 def uniform(key: np.ndarray, number: int, place: np.ndarray, use: int) -> np.ndarray:
     """Numbers in (0, 1) from a row's key, a path's number, a place and a use."""
-    h = mix(mix(key + np.uint64((number * 8 + use) * int(MIX) % 2**64)) + place.astype(np.uint64))
+    h = mix(key + np.uint64((number * 8 + use) * int(MIX) % 2**64) + place.astype(np.uint64) * STEP)
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
@@ -221,31 +226,48 @@ def truncated(location: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndar
 
 
 class Paths:
-    """One segmentation of each text: edges one after another, and the values of the subtrees they leave open."""
+    """One segmentation of each text: edges one after another, and the subtrees they leave open.
+
+    Of an open subtree: its edge (at), the share of its node's mass that paths have taken, which edges these
+    are (mask), and its largest value. Subtrees with less than a millionth of their node's mass, or e**-60
+    of the whole, count as empty.
+    """
 
-    def __init__(self, sizes, symbol, node, length, occurrence, place, logp, inner, value, bound, exists):
-        self.sizes, self.symbol, self.node, self.length, self.occurrence, self.place, self.logp = sizes, symbol, node, length, occurrence, place, logp
+    def __init__(self, sizes, symbol, node, length, occurrence, logp, bound, exists):
+        self.sizes, self.symbol, self.node, self.length, self.occurrence, self.logp = sizes, symbol, node, length, occurrence, logp
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
-        self.taken = np.exp(logp)
-        self.mask = np.uint64(1) << (length - 1).astype(np.uint64)
-        total = np.concatenate([[0.0], np.cumsum(logp)])
-        self.before = total[:-1] - np.repeat(total[self.starts], sizes)
-        self.total = total[self.ends] - total[self.starts]
-        self.bound, self.value, self.exists = bound, value, exists
+        self.sums = np.concatenate([[0.0], np.cumsum(logp)])
+        self.total = self.sums[self.ends] - self.sums[self.starts]
+        self.bound, self.exists = bound, exists
+
+    def before(self, at: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Log-probability of what comes before an edge."""
+        return self.sums[at] - self.sums[self.starts[text]]
+
+    def open(self, skip: np.ndarray, keys: np.ndarray, base: np.ndarray, number: int) -> None:
+        """Opens the subtrees beside each text's edges but the first ones, which belong to other paths."""
+        first = self.starts + skip
+        last = np.minimum(self.ends, np.searchsorted(-self.sums, 60 - self.sums[self.starts], "right"))
+        count = np.maximum(last - first, 0)
+        at, text = ranges(first, count), np.repeat(np.arange(len(count)), count)
+        taken = np.exp(self.logp[at])
+        some = 1 - taken > 1e-6
+        self.at, self.text, self.taken = at[some], text[some], taken[some]
+        self.place = base[self.occurrence[self.at]] + self.node[self.at]
+        self.mask = np.uint64(1) << (self.length[self.at] - 1).astype(np.uint64)
+        self.value = truncated(self.before(self.at, self.text) + np.log1p(-self.taken), self.bound[self.text], uniform(keys[self.text], number, self.place, 1))
 
     def best(self) -> tuple[np.ndarray, np.ndarray]:
-        """The largest open value of each text, and its edge."""
-        out, at = np.full(len(self.sizes), -np.inf), np.zeros(len(self.sizes), np.int64)
-        full = np.flatnonzero(self.sizes > 0)
-        if len(full):
-            top = np.maximum.reduceat(self.value, self.starts[full])
-            out[full] = top
-            hit = np.flatnonzero(self.value == np.repeat(top, self.sizes[full]))
-            text = np.repeat(full, self.sizes[full])[hit]
-            first = np.concatenate([[True], text[1:] != text[:-1]])
-            at[text[first]] = hit[first]
-        return out, at
+        """The largest open value of each text, and which subtree has it."""
+        out, which = np.full(len(self.sizes), -np.inf), np.zeros(len(self.sizes), np.int64)
+        if len(self.at):
+            first = np.flatnonzero(np.concatenate([[True], self.text[1:] != self.text[:-1]]))
+            top = np.maximum.reduceat(self.value, first)
+            out[self.text[first]] = top
+            hit = np.flatnonzero(self.value == np.repeat(top, np.diff(np.append(first, len(self.at)))))
+            which[self.text[hit][::-1]] = hit[::-1]
+        return out, which
 
 
 class Index(dict):
@@ -275,6 +297,7 @@ class Sampler:
         self.text = np.repeat(np.arange(len(texts)), self.counts)
         size = np.cumsum(np.concatenate([[0], self.end - self.begin]))
         self.shift = size[:-1] - np.repeat(size[self.firsts[:-1]], self.counts)
+        self.key_of, self.base = self.keys[self.text], self.shift - self.begin
 
     def units(self, text: str) -> list[str]:
         """Parts that no piece goes over: each begins with a run of spaces, of which the first is left out if normalising is plain."""
@@ -297,47 +320,39 @@ class Sampler:
         return out + ([lead[1:] if self.v.plain else lead] if lead else [])
 
     def walk(self, occurrence: np.ndarray, at: np.ndarray, number: int) -> tuple[np.ndarray, ...]:
-        """Sample on from places in units to the units' ends: (occurrence, step, node, length, log-probability) of every edge."""
-        got = []
-        on, step = np.flatnonzero(at < self.end[occurrence]), 0
+        """Sample on from places in units to the units' ends: (occurrence, node, length, log-probability) of every edge."""
+        got, count, step = [], np.zeros(len(self.text), np.int64), 0
+        on = np.flatnonzero(at < self.end[occurrence])
         occurrence, at = occurrence[on], at[on]
         while len(at):
-            u = uniform(self.keys[self.text[occurrence]], number, self.shift[occurrence] + at - self.begin[occurrence], 0)
+            u = uniform(self.key_of[occurrence], number, self.base[occurrence] + at, 0).astype(np.float32)
             # The last edge's sum is 1, and a length without an edge has the sum of the one before: it is never drawn.
             sums = self.lattice.sums[at]
-            k = np.count_nonzero(sums < u[:, None].astype(np.float32), axis=1)
-            here = np.arange(len(k))
-            p = sums[here, k] - np.where(k > 0, sums[here, k - 1], 0)
-            got.append((occurrence, np.full(len(at), step), at, k + 1, np.log(np.maximum(p, 1e-30))))
-            at = at + k + 1
-            on = at < self.end[occurrence]
-            occurrence, at, step = occurrence[on], at[on], step + 1
+            k = (sums >= u[:, None]).argmax(1)
+            flat = np.arange(0, sums.size, sums.shape[1]) + k
+            p = sums.ravel()[flat] - np.where(k > 0, sums.ravel()[flat - 1], np.float32(0))
+            k += 1
+            got.append((occurrence, step, at, k, np.log(np.maximum(p, np.float32(1e-30)))))
+            step += 1
+            count[occurrence] = step  # all that are still walking have come as far
+            at = at + k
+            on = np.flatnonzero(at < self.end[occurrence])
+            occurrence, at = occurrence[on], at[on]
         if not got:
-            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.float64))
-        cat = [np.concatenate(x) for x in zip(*got, strict=True)]
-        count = np.bincount(cat[0], minlength=len(self.text))
-        where = np.concatenate([[0], np.cumsum(count)])[cat[0]] + cat[1]
-        out = []
-        for x in cat:
-            y = np.empty_like(x)
-            y[where] = x
-            out.append(y)
-        return tuple(out)
-
-    def opened(self, paths: Paths, fresh: np.ndarray, number: int) -> None:
-        """Values of the subtrees that the fresh edges of new paths leave open."""
-        text = np.repeat(np.arange(len(paths.sizes)), paths.sizes)[fresh]
-        rest = np.log(np.maximum(1 - paths.taken[fresh], 1e-30))
-        u = uniform(self.keys[text], number, paths.place[fresh], 1)
-        value = truncated(paths.before[fresh] + rest, paths.bound[text], u)
-        paths.value[fresh] = np.where(1 - paths.taken[fresh] > 1e-6, value, -np.inf)
+            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.float64))
+        begin = np.cumsum(count) - count
+        node, length, logp = np.empty(count.sum(), np.int64), np.empty(count.sum(), np.int64), np.empty(count.sum())
+        for o, step, n, k, p in got:
+            where = begin[o] + step
+            node[where], length[where], logp[where] = n, k, p
+        return np.repeat(np.arange(len(count)), count), node, length, logp
 
     def first(self) -> Paths:
-        occurrence, _, node, length, logp = self.walk(np.arange(len(self.text)), self.begin.copy(), 1)
+        occurrence, node, length, logp = self.walk(np.arange(len(self.text)), self.begin.copy(), 1)
         sizes = np.bincount(self.text[occurrence], minlength=len(self.counts))
         bound = -np.log(-np.log(uniform(self.keys, 1, np.zeros(len(self.keys), np.int64), 2)))
-        paths = Paths(sizes, self.lattice.symbols[node, length - 1], node, length, occurrence, self.shift[occurrence] + node - self.begin[occurrence], logp, None, np.full(len(node), -np.inf), bound, np.ones(len(sizes), bool))
-        self.opened(paths, np.arange(len(node)), 1)
+        paths = Paths(sizes, self.lattice.symbols[node, length - 1], node, length, occurrence, logp, bound, np.ones(len(sizes), bool))
+        paths.open(np.zeros(len(sizes), np.int64), self.keys, self.base, 1)
         return paths
 
     def following(self, known: list[Paths]) -> Paths:
@@ -349,32 +364,33 @@ class Sampler:
         bound = values.max(0)
         exists = np.isfinite(bound)
         n = len(self.counts)
-        prefix, node, occ, edge, edge_logp, place = (np.zeros(n, t) for t in (np.int64, np.int64, np.int64, np.int64, np.float64, np.int64))
+        prefix, node, occ, edge, edge_logp = (np.zeros(n, t) for t in (np.int64, np.int64, np.int64, np.int64, np.float64))
         for r, p in enumerate(known):
             rows = np.flatnonzero(exists & (source == r))
             if not len(rows):
                 continue
-            at = bests[r][1][rows]
+            which = bests[r][1][rows]
+            at = p.at[which]
             sums = self.lattice.sums[p.node[at]].astype(np.float64)
             chance = np.diff(sums, axis=1, prepend=0.0)
-            free = ((p.mask[at][:, None] >> np.arange(chance.shape[1], dtype=np.uint64)) & np.uint64(1)) == 0
+            free = ((p.mask[which][:, None] >> np.arange(chance.shape[1], dtype=np.uint64)) & np.uint64(1)) == 0
             chance = np.where(free, chance, 0.0)
             c = np.cumsum(chance, 1)
-            k = (c <= uniform(self.keys[rows], number, p.place[at], 3)[:, None] * c[:, -1:]).sum(1)
+            k = (c <= uniform(self.keys[rows], number, p.place[which], 3)[:, None] * c[:, -1:]).sum(1)
             k = np.minimum(k, chance.shape[1] - 1)
             got = chance[np.arange(len(k)), k]
-            prefix[rows], node[rows], occ[rows], place[rows] = at - p.starts[rows], p.node[at], p.occurrence[at], p.place[at]
+            prefix[rows], node[rows], occ[rows] = at - p.starts[rows], p.node[at], p.occurrence[at]
             edge[rows], edge_logp[rows] = k + 1, np.log(np.maximum(got, 1e-30))
-            p.mask[at] |= np.uint64(1) << k.astype(np.uint64)
-            p.taken[at] += got
-            rest = 1 - p.taken[at]
-            again = truncated(p.before[at] + np.log(np.maximum(rest, 1e-30)), bound[rows], uniform(self.keys[rows], number, p.place[at], 4))
-            p.value[at] = np.where(rest > 1e-6, again, -np.inf)
+            p.mask[which] |= np.uint64(1) << k.astype(np.uint64)
+            p.taken[which] += got
+            rest = 1 - p.taken[which]
+            again = truncated(p.before(at, rows) + np.log(np.maximum(rest, 1e-30)), bound[rows], uniform(self.keys[rows], number, p.place[which], 4))
+            p.value[which] = np.where(rest > 1e-6, again, -np.inf)
         rows = np.flatnonzero(exists)
         later = self.firsts[rows + 1] - occ[rows] - 1
         starts = np.concatenate([occ[rows], ranges(occ[rows] + 1, later)])
         begins = np.concatenate([node[rows] + edge[rows], self.begin[ranges(occ[rows] + 1, later)]])
-        f_occ, _, f_node, f_length, f_logp = self.walk(starts, begins, number)
+        f_occ, f_node, f_length, f_logp = self.walk(starts, begins, number)
         fresh = np.bincount(self.text[f_occ], minlength=n)
         sizes = np.where(exists, prefix + 1 + fresh, 0)
         begin = np.cumsum(sizes) - sizes
@@ -390,9 +406,8 @@ class Sampler:
         to = ranges((begin + prefix + 1)[rows], fresh[rows])
         for c, x in (("node", f_node), ("length", f_length), ("occurrence", f_occ), ("logp", f_logp)):
             columns[c][to] = x
-        places = self.shift[columns["occurrence"]] + columns["node"] - self.begin[columns["occurrence"]]
-        paths = Paths(sizes, self.lattice.symbols[columns["node"], columns["length"] - 1], columns["node"], columns["length"], columns["occurrence"], places, columns["logp"], None, np.full(total, -np.inf), np.where(exists, bound, -np.inf), exists)
-        self.opened(paths, to, number)
+        paths = Paths(sizes, self.lattice.symbols[columns["node"], columns["length"] - 1], columns["node"], columns["length"], columns["occurrence"], columns["logp"], np.where(exists, bound, -np.inf), exists)
+        paths.open(np.where(exists, prefix + 1, 0), self.keys, self.base, number)
         return paths
 
     def ids(self, paths: Paths) -> tuple[np.ndarray, np.ndarray]:
