@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Iterator
@@ -27,20 +28,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame, free: bool = False) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there, so that a lost executor costs a reread.
-
-    Spark deletes shuffle files once the driver's collector finds that no plan needs them; free asks for a
-    collection, after a step with large ones.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and go on from there, so that a lost executor costs a reread."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tallyspark-checkpoint-"))
-    out = df.checkpoint()
-    if free:
-        sc._jvm.System.gc()
-    return out
+    return df.checkpoint()
+
+
+def free(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle and checkpoint files that no plan needs any more.
+
+    It does so once both collectors have found the plans unreachable; frames in Python are part of cycles.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -95,7 +98,7 @@ def lower(codes: np.ndarray) -> np.ndarray:
     return np.where(codes < 65536, LOWER[np.minimum(codes, 65535)], codes)
 
 
-def segments(texts: pa.Array, limit: int = 1_000_000, overlap: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def segments(texts: pa.Array, limit: int = 300_000, overlap: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The texts' code points in chunks of about limit: (codes, offsets of the pieces, row of each piece).
 
     Whole texts; one longer than the limit comes as several pieces which share overlap code points.

@@ -9,7 +9,7 @@ fixed bins over all its rows. Only sums of fixed size come to the driver.
 Nulls: a null text counts as empty; labels that are null, or of null ids, are not used, and a document
 with several labels counts as good only if all say so; a null id is returned as null and never held
 out. Where there are no labels, or only one class, the score is that of the calibration: the class's
-share (1 without labels). Texts longer than a million code points are read in pieces, within which
+share (1 without labels). Texts longer than 300,000 code points are read in pieces, within which
 repeated words and lines are counted. Repeated rows are scored each for itself. Empty tables give no
 rows. Other columns are not read.
 """

@@ -34,9 +34,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MIX, components, cut, mix, ship, table
+from .common import MIX, components, cut, free, mix, ship, table
 
-GROWTH, PENALTY, CHUNK, WORDS, CENTRES, SLICES, BITMAP = 1.25, 30.0, 4_000_000, 16, 3, 6, 1 << 18
+GROWTH, PENALTY, CHUNK, WORDS, CENTRES, SLICES, BITMAP = 1.25, 30.0, 1_000_000, 16, 3, 6, 1 << 18
 LARGE, WIDE = 1500, 256  # sets of at least LARGE tokens have a second sketch of WIDE words
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -281,15 +281,16 @@ def met(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, ...]:
     shared = None
     for i in range(SLICES):
         part = rows.where(F.pmod(F.shiftright("key", 2), F.lit(SLICES)) == i).groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("times"), F.min("kind").alias("least")).where("a <> b and least < 2")
-        part = cut(part, free=True)
+        part = cut(part)
         shared = part if shared is None else shared.union(part)
+        free(docs.sparkSession)
     # Keys of two rows are a pair; the rows of the others are fetched.
     light = cut(shared.where("times = 2").select("a", "b").distinct())
     often = shared.where("times > 2").select("key", "times")
     heavy = may_hold(rows, "key", often.select("key")).join(often, "key").withColumn("spare", spare_of(F.col("n_shingles"), percent))
     costly = Window.partitionBy("node", F.col("key").bitwiseAND(3), F.col("kind") == 0).orderBy(F.desc("times"), "key")
     heavy = heavy.withColumn("left_out", (F.col("kind") == 0) & (F.row_number().over(costly) <= F.col("spare")))
-    return small, classes, known, light, cut(heavy.select("key", "node", "kind", "left_out"), free=True)
+    return small, classes, known, light, cut(heavy.select("key", "node", "kind", "left_out"))
 
 
 def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -297,6 +298,7 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     small, classes, known, light, heavy = met(docs, n, percent)
+    free(docs.sparkSession)
     orders = [F.struct(F.xxhash64("node", F.lit(i)), "node") for i in range(CENTRES)]
     centres = heavy.groupBy("key").agg(F.max(~F.col("left_out")).alias("used"), F.array(*[F.min(o)["node"] for o in orders]).alias("centres")).where("used").select("key", F.explode(F.array_distinct("centres")).alias("c"))
     stars = heavy.join(centres, "key").where("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
@@ -304,6 +306,7 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     pairs = light.union(stars).distinct().join(about("a"), "a").join(about("b"), "b")
     links = cut(verified(cut(pairs.where(near("a", "b", percent)).select("a", "b")), docs, n, percent))
     joined = cut(components(links))
+    free(docs.sparkSession)
     used = centres.select("key").distinct()
     heavy = cut(heavy.join(used, "key", "left_semi").join(known, "node"))
     for closest in (True, False):

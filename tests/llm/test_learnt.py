@@ -66,7 +66,7 @@ def test_long_texts_in_pieces():
     from tallyspark.llm.common import segments
 
     text = "abc def " * 300_000
-    assert "".join("".join(map(chr, codes[: 1_000_000 - 3 if i < 2 else None])) for i, (codes, _, _) in enumerate(segments(pa.array([text]), overlap=3))) == text
+    assert "".join("".join(map(chr, codes[: 1_000_000 - 3 if i < 2 else None])) for i, (codes, _, _) in enumerate(segments(pa.array([text]), limit=1_000_000, overlap=3))) == text
     whole = [set(b) for b in ngrams.distinct_buckets(pa.array(["abc def " * 40]), range(2, 5), 22)]
     long = [set(b) for b in ngrams.distinct_buckets(pa.array([text, "x"]), range(2, 5), 22)]
     assert long[0] == whole[0] and len(long) == 2
