@@ -363,7 +363,7 @@ def sync_batches(spark, d):
     """Slices of 100 in order of key: ranges by one global sort, numbered without gathering rows in one task."""
     from tallyspark.operators.batching import numbered
 
-    o = read(spark, d, "orders").where("o_orderkey < 2000").select("o_orderkey")
+    o = read(spark, d, "orders").select("o_orderkey")
     n = o.agg(F.count("*").alias("n_rows"))
     return numbered(o, "o_orderkey").join(F.broadcast(n)).select(F.floor(F.col("number") / 100).alias("batch"), "n_rows", "o_orderkey")
 
