@@ -461,7 +461,7 @@ def vendor_name_topk(spark, d):
 
 
 def _pages(spark, d):
-    return layout.synthetic_pages(fixtures.invoices(spark, d).where("order_key % 5 = 0"))
+    return layout.synthetic_pages(fixtures.invoices(spark, d))
 
 
 @query()
