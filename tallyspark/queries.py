@@ -300,10 +300,11 @@ ids as (select *, case shop when 0 then null when 1 then 'DE136695976' else 'LU'
 known as (select *, first_value(case when method = 'text' and tax_id is not null then vendor_name end ignore nulls) over (partition by tax_id order by seq rows between unbounded preceding and 1 preceding) as k from ids)
 select seq, case when tax_id is not null and method <> 'text' and k is not null then k else vendor_name end as vendor_name, case when tax_id is not null and method <> 'text' and k is not null and k is distinct from vendor_name then 1 else 0 end as n_notes from known""")
 def vendor_registry(spark, d):
-    c = read(spark, d, "conversations").where("turn < 2")
+    c = read(spark, d, "conversations")
     shop = F.col("conv_id") % 10
     tax = F.when(shop == 0, None).when(shop == 1, "DE136695976").otherwise(F.concat(F.lit("LU"), F.lpad(shop.cast("string"), 8, "0")))
-    docs = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.when(F.col("role") == "assistant", "text").otherwise("ocr").alias("method"), tax.alias("tax_id"), F.concat("role", F.lit("-"), (F.col("conv_id") % 3).cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("vendor_name"), F.array().cast("array<string>").alias("notes"))
+    # Turns have 32 bits of their own.
+    docs = c.select((F.col("conv_id").cast("long") * 2**32 + F.col("turn")).alias("seq"), F.when(F.col("role") == "assistant", "text").otherwise("ocr").alias("method"), tax.alias("tax_id"), F.concat("role", F.lit("-"), (F.col("conv_id") % 3).cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("vendor_name"), F.array().cast("array<string>").alias("notes"))
     return keys.enrich_from_registry(docs).select("seq", "vendor_name", F.size("notes").alias("n_notes"))
 
 

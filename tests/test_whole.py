@@ -47,3 +47,19 @@ def test_pages_of_all_invoices(spark, tmp_path):
     assert all(r["currency"] == ("€" in "".join(pages[r["sha256"]]) and "EUR" or "$" in "".join(pages[r["sha256"]]) and "USD" or "EUR") for r in got)
     items = [(k, i, re.sub(r"[\d#]", "x", x["description"]), x["quantity"], x["unit_price"], x["amount"]) for k, r in truth.items() for i, x in enumerate(r["invoice"]["line_items"])]
     assert sorted((r["sha256"], r["pos"], r["description"], r["quantity"], r["unit_price"], r["amount"]) for r in run("line_item_table")) == sorted(items)
+
+
+def test_registry_sees_all_turns(spark, tmp_path):
+    rows = [(conv, turn, "assistant" if turn > late and turn % 3 == 0 else "user", "x") for conv, n, late in ((1, 1500, 1200), (2, 4, 0), (10, 5, 0), (11, 1300, 0), (12, 3, 1)) for turn in range(n)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4).write.parquet(str(tmp_path / "conversations.parquet"))
+    known, expected = {}, []
+    for conv, turn, role, _ in sorted(rows):
+        shop, name = conv % 10, f"{role}-{conv % 3}-{turn}"
+        had = known.get(shop) if shop else None
+        takes = role != "assistant" and had is not None and had != name
+        expected.append((had if takes else name, int(takes)))
+        if shop and role == "assistant":
+            known.setdefault(shop, name)
+    got = sorted(queries()["vendor_registry"](spark, str(tmp_path)).collect(), key=lambda r: r["seq"])
+    assert len({r["seq"] for r in got}) == len(rows)
+    assert [(r["vendor_name"], r["n_notes"]) for r in got] == expected
