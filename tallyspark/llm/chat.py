@@ -31,7 +31,7 @@ CONTROL = ["<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"
 
 _CONTROL = re.compile("|".join(map(re.escape, sorted(CONTROL, key=len, reverse=True))))
 _ESCAPED = re.compile(r"\\(.)", re.S)
-_MARK = re.compile(r"(?<!\\)<\|(turn|body|end|image:\d+|audio:\d+|document:\d+)\|>")
+_MARK = re.compile(r"<\|(turn|body|end|image:\d+|audio:\d+|document:\d+)\|>")
 
 PARTS = "array<struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
 FORMATTED = "conv_id long, turn long, role string, piece string, loss array<struct<start:long,length:long>>, attachments array<struct<kind:string,ref:string,position:long,tokens:long>>, expanded_tokens long"
