@@ -5,6 +5,8 @@ redirects or canonical links form classes (connected components); a url without
 takes the verdict of its class: allow where any member is explicitly allowed, else block where any
 member is blocked, else allow.
 
+Relative targets of links are resolved against the page's url (a <base> element is not read).
+
 Nulls: a null url, or one without "://", has empty host and path, no rule, and its own class; a null
 html gives no link. Repeated rows are judged alike, each with its row. Empty tables give no rows.
 Other columns are not read.
@@ -12,8 +14,6 @@ Other columns are not read.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,14 +53,33 @@ def matched(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return F.coalesce(*found) if found else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
+def resolved(target: Column, url: Column) -> Column:
+    """A link's target as an absolute url, seen from a page's url (RFC 3986); null where it has none."""
+    part = lambda of, n: F.regexp_extract(of, r"(?s)^([^:/?#]+)://([^/?#]*)([^?#]*)(\??[^#]*)", n)
+    root, path = F.concat(part(url, 1), F.lit("://"), part(url, 2)), part(url, 3)
+    own = F.regexp_extract(target, r"(?s)^[^?#]*", 0)
+    rest = F.substring(target, F.length(own) + 1, F.length(target))
+    whole = F.when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(F.when(path == "", "/").otherwise(F.regexp_extract(path, r"(?s)^.*/", 0)), own))
+    steps = F.split(whole, "/")
+    step = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    kept = F.aggregate(F.slice(steps, 2, F.size(steps)), F.array().cast("array<string>"), step)
+    # A path that ends in a dot segment names a folder.
+    straight = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(F.element_at(steps, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+    seen = F.when(F.startswith(target, F.lit("//")), F.concat(part(url, 1), F.lit(":"), target)).when(own != "", F.concat(root, straight, rest))
+    seen = seen.otherwise(F.concat(root, path, F.when(F.startswith(rest, F.lit("#")), part(url, 4)).otherwise(""), rest))
+    absolute = F.rlike(target, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:"))
+    return F.when(target == "", None).when(absolute, F.when(F.contains(target, F.lit("://")), target)).when(part(url, 1) != "", seen)
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """Edges (a, b) between urls: canonical links and meta refreshes with an absolute target in a page's html."""
+    """Edges (a, b) between urls: canonical links and meta refreshes in a page's html, relative targets seen from the page's url."""
     html = F.col("html")
-    some = pages.where(F.col("url").isNotNull() & reduce(Column.__or__, [F.contains(html, F.lit(x)) for x in ("canonical", "CANONICAL", "Canonical", "http-equiv", "HTTP-EQUIV", "Http-Equiv")]))
+    some = pages.where(F.col("url").isNotNull() & F.rlike(html, F.lit("(?i)canonical|http-equiv")))
     tag = lambda name, has: F.regexp_extract(html, rf"(?is)<{name}\b[^>]*{has}[^>]*>", 0)
     canonical = F.regexp_extract(tag("link", r"rel\s*=\s*[\"']?canonical\b"), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     refresh = F.regexp_extract(tag("meta", r"http-equiv\s*=\s*[\"']?refresh\b"), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    return some.select(F.col("url").alias("a"), F.explode(F.array(canonical, refresh)).alias("b")).where(F.contains("b", F.lit("://")))
+    targets = some.select(F.col("url").alias("a"), F.explode(F.array(canonical, refresh)).alias("t")).where("t != ''")
+    return targets.select("a", resolved(F.col("t"), F.col("a")).alias("b")).where("b is not null")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFrame | None = None) -> DataFrame:
