@@ -65,7 +65,11 @@ class Vocabulary:
         # Every prefix has an entry; those that are no piece have id -1.
         self.hashes = np.array(sorted(prefixes), np.uint64)
         got = [known.get(int(h), (-1, 0.0)) for h in self.hashes]
-        self.ids, self.chances = np.array([g[0] for g in got], np.int32), np.exp(np.array([g[1] for g in got])).astype(np.float32)
+        self.ids, self.chances = np.array([g[0] for g in got], np.int32), np.exp(np.array([g[1] for g in got]))
+        # By symbol: of pieces, and behind them of signs without a piece, by their bytes.
+        signs = np.arange(0x110000)
+        self.weights = np.concatenate([np.zeros(n), self.floor * (1 + (signs > 0x7F) + (signs > 0x7FF) + (signs > 0xFFFF))])
+        self.weights[usable] = weights
         self.head, self.next = np.full(1 << BITS, -1, np.int32), np.full(len(self.hashes), -1, np.int32)
         for k, slot in enumerate(self.slot(self.hashes)):
             self.next[k], self.head[slot] = self.head[slot], k
@@ -105,7 +109,10 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """All edges of distinct units: per place and edge length the symbol, and sums of the conditional probabilities."""
+    """All edges of distinct units: per place and edge length the symbol, and sums of the conditional probabilities.
+
+    Per place, in logarithms: the mass of all ways to the unit's end, and the share of all edges but the likeliest.
+    """
 
     def __init__(self, units: list[str], v: Vocabulary):
         codes = np.frombuffer("".join(units).encode("utf-32-le"), "<u4")
@@ -126,23 +133,23 @@ class Block:
             if not len(at):
                 break
         width = max((k + 1 for k, e in enumerate(edges) if len(e[0])), default=1)
-        self.symbols, chance = np.full((n, width), -1, np.int32), np.zeros((n, width), np.float32)
+        self.symbols, chance = np.full((n, width), -1, np.int32), np.zeros((n, width))
         for k, (at, ids, w) in enumerate(edges[:width]):
-            self.symbols[at, k], chance[at, k] = ids, w * np.exp(np.float32(3 * k + 3))
+            self.symbols[at, k], chance[at, k] = ids, w * np.exp(3 * k + 3)
         bare = np.flatnonzero(self.symbols[:, 0] < 0)
         spelled = np.zeros(n + 1, np.int64)
         spelled[bare + 1] = 1 + (codes[bare] > 0x7F) + (codes[bare] > 0x7FF) + (codes[bare] > 0xFFFF)
         self.symbols[bare, 0] = v.n + codes[bare].astype(np.int32)
         chance[bare, 0] = np.exp(v.floor * spelled[bare + 1] + 3)
         spelled = np.cumsum(spelled)
-        self.sums = np.zeros((n, width), np.float32)
+        self.sums, self.mass, self.others = np.zeros((n, width), np.float32), np.zeros(n), np.zeros(n)
         self.starts = self.ends - self.sizes
         # Short units with few bare signs can't run out of a double's range.
         short = (self.sizes <= 48) & (spelled[self.ends] - spelled[self.starts] <= 4)
         self.filter_short(np.flatnonzero(short), chance)
         if not short.all():
             with np.errstate(divide="ignore"):
-                self.filter_long(np.flatnonzero(~short), np.log(chance.astype(np.float64)) - 3 * np.arange(1, width + 1))
+                self.filter_long(np.flatnonzero(~short), np.log(chance) - 3 * np.arange(1, width + 1))
 
     def filter_short(self, units: np.ndarray, chance: np.ndarray) -> None:
         """Backward filtering in step from the units' ends; chances carry a factor for each sign, which cancels."""
@@ -154,9 +161,14 @@ class Block:
         mass[:, width] = 1
         for left in range(1, int(sizes[0]) + 1):
             p = last[: np.searchsorted(-sizes, -left, "right")] - (left - 1)
-            c = np.cumsum(chance[p] * mass[: len(p), left : width + left][:, ::-1], axis=1)
+            x = chance[p] * mass[: len(p), left : width + left][:, ::-1]
+            c = np.cumsum(x, axis=1)
             mass[: len(p), width + left] = c[:, -1]
             self.sums[p] = c / c[:, -1:]
+            self.mass[p] = np.log(c[:, -1]) - 3 * left
+            x[np.arange(len(p)), x.argmax(1)] = 0
+            with np.errstate(divide="ignore"):
+                self.others[p] = np.log(x.sum(1) / c[:, -1])
 
     def filter_long(self, units: np.ndarray, weights: np.ndarray) -> None:
         """The same in logarithms."""
@@ -169,8 +181,10 @@ class Block:
             x = weights[p] + ahead
             top = x.max(1)
             c = np.cumsum(np.exp(x - top[:, None]), 1)
-            total[p] = top + np.log(c[:, -1])
+            self.mass[p] = total[p] = top + np.log(c[:, -1])
             self.sums[p] = c / c[:, -1:]
+            x[np.arange(len(p)), x.argmax(1)] = -np.inf
+            self.others[p] = np.logaddexp.reduce(x, axis=1) - total[p]
 
 
 class Lattice:
@@ -179,6 +193,7 @@ class Lattice:
     def __init__(self, v: Vocabulary, limit: int = 1_500_000):
         self.v, self.limit = v, limit
         self.symbols, self.sums = np.full((1 << 14, 1), -1, np.int32), np.ones((1 << 14, 1), np.float32)
+        self.mass = self.others = np.zeros(1 << 14)
         self.clear()
 
     def clear(self) -> None:
@@ -206,9 +221,12 @@ class Lattice:
                 new = np.full((room, wide), empty, old.dtype)
                 new[: self.places, : old.shape[1]] = old[: self.places]
                 setattr(self, name, new)
+            for name in ("mass", "others"):
+                setattr(self, name, np.concatenate([getattr(self, name)[: self.places], np.zeros(room - self.places)]))
         at = slice(self.places, self.places + size)
         self.symbols[at, :width], self.sums[at, :width] = block.symbols, block.sums
         self.symbols[at, width:], self.sums[at, width:] = -1, 1
+        self.mass[at], self.others[at] = block.mass, block.others
         self.starts = np.concatenate([self.starts, block.starts + self.places])
         self.ends = np.concatenate([self.ends, block.ends + self.places])
         self.places += size
@@ -228,9 +246,9 @@ def truncated(location: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndar
 class Paths:
     """One segmentation of each text: edges one after another, and the subtrees they leave open.
 
-    Of an open subtree: its edge (at), the share of its node's mass that paths have taken, which edges these
-    are (mask), and its largest value. Subtrees with less than a millionth of their node's mass, or e**-60
-    of the whole, count as empty.
+    Of an open subtree: its edge (at), which edges of its node paths have taken (mask), and its largest value.
+    It is empty only when all are taken. A path opens none beyond e**-60 of the mass at its first one: a walk
+    that gets there has left about e**32 others open, but for one of 10**12.
     """
 
     def __init__(self, sizes, symbol, node, length, occurrence, logp, bound, exists):
@@ -245,18 +263,20 @@ class Paths:
         """Log-probability of what comes before an edge."""
         return self.sums[at] - self.sums[self.starts[text]]
 
-    def open(self, skip: np.ndarray, keys: np.ndarray, base: np.ndarray, number: int) -> None:
+    def open(self, skip: np.ndarray, keys: np.ndarray, base: np.ndarray, others: np.ndarray, number: int) -> None:
         """Opens the subtrees beside each text's edges but the first ones, which belong to other paths."""
         first = self.starts + skip
-        last = np.minimum(self.ends, np.searchsorted(-self.sums, 60 - self.sums[self.starts], "right"))
+        last = np.minimum(self.ends, np.searchsorted(-self.sums, 60 - self.sums[first], "right"))
         count = np.maximum(last - first, 0)
         at, text = ranges(first, count), np.repeat(np.arange(len(count)), count)
+        # An edge with more than half of the mass is the likeliest; 1 - its share would lose the small ones.
         taken = np.exp(self.logp[at])
-        some = 1 - taken > 1e-6
-        self.at, self.text, self.taken = at[some], text[some], taken[some]
+        rest = np.where(taken > 0.5, others[self.node[at]], np.log1p(-np.minimum(taken, 0.5)))
+        some = rest > -np.inf
+        self.at, self.text = at[some], text[some]
         self.place = base[self.occurrence[self.at]] + self.node[self.at]
         self.mask = np.uint64(1) << (self.length[self.at] - 1).astype(np.uint64)
-        self.value = truncated(self.before(self.at, self.text) + np.log1p(-self.taken), self.bound[self.text], uniform(keys[self.text], number, self.place, 1))
+        self.value = truncated(self.before(self.at, self.text) + rest[some], self.bound[self.text], uniform(keys[self.text], number, self.place, 1))
 
     def best(self) -> tuple[np.ndarray, np.ndarray]:
         """The largest open value of each text, and which subtree has it."""
@@ -329,15 +349,14 @@ class Sampler:
             # The last edge's sum is 1, and a length without an edge has the sum of the one before: it is never drawn.
             sums = self.lattice.sums[at]
             k = (sums >= u[:, None]).argmax(1)
-            flat = np.arange(0, sums.size, sums.shape[1]) + k
-            p = sums.ravel()[flat] - np.where(k > 0, sums.ravel()[flat - 1], np.float32(0))
-            k += 1
-            got.append((occurrence, step, at, k, np.log(np.maximum(p, np.float32(1e-30)))))
+            to = at + k + 1
+            p = self.v.weights[self.lattice.symbols[at, k]] - self.lattice.mass[at]
+            on = np.flatnonzero(to < self.end[occurrence])
+            p[on] += self.lattice.mass[to[on]]
+            got.append((occurrence, step, at, k + 1, np.minimum(p, 0)))
             step += 1
             count[occurrence] = step  # all that are still walking have come as far
-            at = at + k
-            on = np.flatnonzero(at < self.end[occurrence])
-            occurrence, at = occurrence[on], at[on]
+            occurrence, at = occurrence[on], to[on]
         if not got:
             return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.float64))
         begin = np.cumsum(count) - count
@@ -347,12 +366,19 @@ class Sampler:
             node[where], length[where], logp[where] = n, k, p
         return np.repeat(np.arange(len(count)), count), node, length, logp
 
+    def chances(self, node: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
+        """Log-probabilities of all edges at places in units; -inf where a length has none."""
+        symbols = self.lattice.symbols[node]
+        to = node[:, None] + np.arange(1, symbols.shape[1] + 1)
+        ahead = np.where(to < self.end[occurrence][:, None], self.lattice.mass[np.minimum(to, len(self.lattice.mass) - 1)], 0.0)
+        return np.where(symbols >= 0, self.v.weights[symbols] + ahead - self.lattice.mass[node][:, None], -np.inf)
+
     def first(self) -> Paths:
         occurrence, node, length, logp = self.walk(np.arange(len(self.text)), self.begin.copy(), 1)
         sizes = np.bincount(self.text[occurrence], minlength=len(self.counts))
         bound = -np.log(-np.log(uniform(self.keys, 1, np.zeros(len(self.keys), np.int64), 2)))
         paths = Paths(sizes, self.lattice.symbols[node, length - 1], node, length, occurrence, logp, bound, np.ones(len(sizes), bool))
-        paths.open(np.zeros(len(sizes), np.int64), self.keys, self.base, 1)
+        paths.open(np.zeros(len(sizes), np.int64), self.keys, self.base, self.lattice.others, 1)
         return paths
 
     def following(self, known: list[Paths]) -> Paths:
@@ -371,21 +397,18 @@ class Sampler:
                 continue
             which = bests[r][1][rows]
             at = p.at[which]
-            sums = self.lattice.sums[p.node[at]].astype(np.float64)
-            chance = np.diff(sums, axis=1, prepend=0.0)
-            free = ((p.mask[which][:, None] >> np.arange(chance.shape[1], dtype=np.uint64)) & np.uint64(1)) == 0
-            chance = np.where(free, chance, 0.0)
-            c = np.cumsum(chance, 1)
+            chance = self.chances(p.node[at], p.occurrence[at])
+            chance[((p.mask[which][:, None] >> np.arange(chance.shape[1], dtype=np.uint64)) & np.uint64(1)) == 1] = -np.inf
+            c = np.cumsum(np.exp(chance - chance.max(1, keepdims=True)), 1)
             k = (c <= uniform(self.keys[rows], number, p.place[which], 3)[:, None] * c[:, -1:]).sum(1)
-            k = np.minimum(k, chance.shape[1] - 1)
-            got = chance[np.arange(len(k)), k]
+            k = np.minimum(k, (c < c[:, -1:]).sum(1))
             prefix[rows], node[rows], occ[rows] = at - p.starts[rows], p.node[at], p.occurrence[at]
-            edge[rows], edge_logp[rows] = k + 1, np.log(np.maximum(got, 1e-30))
+            edge[rows], edge_logp[rows] = k + 1, chance[np.arange(len(k)), k]
             p.mask[which] |= np.uint64(1) << k.astype(np.uint64)
-            p.taken[which] += got
-            rest = 1 - p.taken[which]
-            again = truncated(p.before(at, rows) + np.log(np.maximum(rest, 1e-30)), bound[rows], uniform(self.keys[rows], number, p.place[which], 4))
-            p.value[which] = np.where(rest > 1e-6, again, -np.inf)
+            chance[np.arange(len(k)), k] = -np.inf
+            rest = np.logaddexp.reduce(chance, axis=1)
+            again = truncated(p.before(at, rows) + np.maximum(rest, -1e300), bound[rows], uniform(self.keys[rows], number, p.place[which], 4))
+            p.value[which] = np.where(rest > -np.inf, again, -np.inf)
         rows = np.flatnonzero(exists)
         later = self.firsts[rows + 1] - occ[rows] - 1
         starts = np.concatenate([occ[rows], ranges(occ[rows] + 1, later)])
@@ -407,7 +430,7 @@ class Sampler:
         for c, x in (("node", f_node), ("length", f_length), ("occurrence", f_occ), ("logp", f_logp)):
             columns[c][to] = x
         paths = Paths(sizes, self.lattice.symbols[columns["node"], columns["length"] - 1], columns["node"], columns["length"], columns["occurrence"], columns["logp"], np.where(exists, bound, -np.inf), exists)
-        paths.open(np.where(exists, prefix + 1, 0), self.keys, self.base, number)
+        paths.open(np.where(exists, prefix + 1, 0), self.keys, self.base, self.lattice.others, number)
         return paths
 
     def ids(self, paths: Paths) -> tuple[np.ndarray, np.ndarray]:

@@ -1,12 +1,14 @@
 """Whole inputs: texts, links, segmentations and pieces that a shortcut would leave out."""
 
 import hashlib
-
+import math
 from urllib.parse import urljoin
 
+import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, url_filter
+from tallyspark.llm import chat, sentencepiece_sampling, url_filter
 
 
 def test_digests_of_texts_ending_in_backslashes(spark):
@@ -44,3 +46,28 @@ def test_links_in_any_case_and_relative(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     verdict = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, url_filter.RULES).collect()}
     assert verdict == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "block", 8: "allow"}
+
+
+def test_all_segmentations_of_short_texts():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    v = sentencepiece_sampling.vocabulary(path)
+    piece = {v.model.id_to_piece(i): i for i in range(v.n) if not (v.model.is_control(i) or v.model.is_unknown(i) or v.model.is_byte(i))}
+
+    def ways(text):
+        if not text:
+            yield (), 0.0
+        for n in range(1, len(text) + 1):
+            if text[:n] in piece:
+                for ids, weight in ways(text[n:]):
+                    yield (piece[text[:n]], *ids), weight - math.log1p(min(-v.model.get_score(piece[text[:n]]), v.n))
+
+    for text in ["a", "I", "я", "a a a", "I I", "I I I I I I I", "the", "to be", "x" * 7]:
+        expected = dict(ways("▁" + text.replace(" ", "▁")))
+        total = math.log(math.fsum(map(math.exp, expected.values())))
+        got = {}
+        for ids, offsets, paths, inclusion in sentencepiece_sampling.samples(np.arange(3), [text] * 3, len(expected) + 1, v, 1):
+            for row in np.flatnonzero(paths.exists):
+                got[row, tuple(ids[offsets[row] : offsets[row + 1]].tolist())] = paths.total[row], inclusion[row]
+        assert set(got) == {(row, ids) for row in range(3) for ids in expected}, text
+        assert max(abs(p - (expected[ids] - total)) for (_, ids), (p, _) in got.items()) < 1e-9, text
+        assert min(inclusion for _, inclusion in got.values()) == 1, text
