@@ -3,8 +3,11 @@
 import random
 import re
 
+from oracle import assert_same
 from tallyspark import fixtures
-from tallyspark.queries import queries
+from tallyspark.fixtures import ARRIVAL_SQL, INV_SQL
+from tallyspark.operators.reporting import COMPARED
+from tallyspark.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,3 +66,15 @@ def test_registry_sees_all_turns(spark, tmp_path):
     got = sorted(queries()["vendor_registry"](spark, str(tmp_path)).collect(), key=lambda r: r["seq"])
     assert len({r["seq"] for r in got}) == len(rows)
     assert [(r["vendor_name"], r["n_notes"]) for r in got] == expected
+
+
+def test_sheets_of_all_arrivals(spark):
+    settled = f"with {ARRIVAL_SQL}, settled as (select a.*, s.invoice_key from arrival a join ({oracle_sql()['duplicate_status']}) s on a.seq = s.seq where s.status <> 'duplicate')"
+    assert_same(queries()["sheet_rows_invoices"](spark, SF), SF, f"{settled} select invoice_key as key, vendor_name, vendor_tax_id, invoice_number, cast(issue_date as varchar) as issue_date, currency, cast(total as double) as total, cast(n_lines as integer) as line_count, name as source_file, method from settled")
+    assert_same(queries()["sheet_rows_lines"](spark, SF), SF, f"{settled} select invoice_key || '#' || cast(line_no as varchar) as key, invoice_key, cast(line_no as integer) as line, description, cast(p.quantity as double) as quantity, cast(unit_price as double) as unit_price, cast(amount as double) as amount, currency from settled join priced p using (order_key)")
+
+
+def test_accuracy_of_all_fields(spark):
+    wrong = {"total": "total is null or order_key % 10 <> 0", "currency": "order_key % 8 <> 0"}
+    fields = ", ".join(f"{{'field': '{f}', 'ok': {wrong.get(f, 'true')}}}" for f in [*COMPARED, "lines", "descriptions"])
+    assert_same(queries()["field_accuracy"](spark, SF), SF, f"with {INV_SQL}, c as (select method = 'ocr' as scanned, unnest([{fields}]) as e from inv) select e.field as field, count(*) filter (scanned and e.ok) as scan_ok, count(*) filter (scanned) as scan_n, count(*) filter (not scanned and e.ok) as text_ok, count(*) filter (not scanned) as text_n from c group by 1")
