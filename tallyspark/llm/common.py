@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,22 +29,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there, so that a lost executor costs a reread."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tallyspark-checkpoint-"))
-    return df.checkpoint()
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="tallyspark-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables, which all executors share: what the session names in spark.checkpoint.dir."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(named or _local_folder()).rstrip('/')}/tallyspark-{sc.applicationId}"
+
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def free(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle and checkpoint files that no plan needs any more.
 
-    It does so once both collectors have found the plans unreachable; frames in Python are part of cycles.
+def cut(df: DataFrame) -> DataFrame:
+    """Write df as a table in the shared folder and go on from there, so that a lost executor costs a reread.
+
+    The shuffle files of the write go when it has ended; drop() deletes the table.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_paths = [path]
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete the tables that cut() wrote for these frames, once nothing unfinished reads them."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        for path in getattr(df, "cut_paths", []):
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def spread(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """Joins many rows for each key with one row for each key, so that adaptive execution can split a hot key's rows.
+
+    It splits a side only if that is read straight from its exchange. An aggregate by the key would be joined as
+    it lies; the second join column, a hash of the key, asks for an exchange after it.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    hashed = lambda df: df.withColumn("_hash", F.xxhash64(key))
+    return hashed(many).join(hashed(one).hint("merge"), [key, "_hash"]).drop("_hash")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -52,7 +89,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps until the edges stay as they are. Every step is a
     minimum by key (combined before the shuffle) and a join of the edges with one row per node, so a
     node with very many edges is split by the skew join and never gathered. Node type: any orderable.
-    Nulls and loops are no edges; nodes without an edge are not returned.
+    Nulls and loops are no edges; nodes without an edge are not returned. drop() takes the result.
     """
     u, v = edges.columns
     ordered = edges.where(F.col(u) != F.col(v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
@@ -61,15 +98,18 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.union(now.select("v", "u")).toDF("a", "b")
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("u"), F.col("m").alias("v"))
+        large = spread(both.where("b > a"), low, "a").select(F.col("b").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = cut(small.select("e.u", "e.v").where("u != v").distinct())
+        small = spread(large, least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        last, now = now, cut(small.select("e.u", "e.v").where("u != v").distinct())
+        drop(last)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break
         mark = tuple(seen)
-    return now.union(now.select("v", "v").distinct()).toDF("node", "component")
+    out = now.union(now.select("v", "v").distinct()).toDF("node", "component")
+    out.cut_paths = now.cut_paths
+    return out
 
 
 def held_out(id_col: str, modulus: int, remainder: int):

@@ -6,15 +6,17 @@ in at most h tokens in all; tokens are hashed into segments, of which a share is
 allocations that sum to h + 1 and some spare ones. By the pigeonhole principle two similar sets agree, so far, on
 one segment and the spare ones, so that a set may leave segments out. Costs allocate twice: how many
 segments of either kind a band has follows from the rows they index and the accidental matches they
-let through; which segments a set leaves out are first its empty ones, then those that most sets share.
+let through; which segments a set leaves out are those beyond what its own size needs, its empty ones, then those
+that most sets share.
 
 Sets that are equal are one node. Nodes that share a segment are not paired all with all: each meets a few
 centres among them, links join nodes into components, and only nodes that share a segment but are
 not yet in one component meet after that, first the closest of each component. So components are those
 of all links. Pairs meet by sketch: of a fixed number of groups of tokens, those with an odd count in just one
 of two sets are at most as many as the tokens in which the sets differ. Who passes is compared exactly.
-Tables are cut to those keys that matter by bitmaps of a fixed size, and keys that many share are
-combined before each shuffle.
+Keys go to buckets, whose number follows from the number of keys, as packed blocks of a few bytes a key; only keys
+that two nodes or more have come out. Rows of a key that many texts of one task have are dealt to all
+buckets, and only a few of them stand for it in its own.
 
 Nulls: a null text, and one without words, has an empty set and links with nothing; a null id is
 returned with a null component, and its text links only through equal sets that have an id. Texts with
@@ -34,9 +36,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MIX, components, cut, free, mix, ship, table
+from .common import MIX, components, cut, drop, mix, ship, spread, table
 
-GROWTH, PENALTY, CHUNK, WORDS, CENTRES, SLICES, BITMAP = 1.25, 30.0, 1_000_000, 16, 3, 6, 1 << 18
+GROWTH, PENALTY, CHUNK, WORDS, CENTRES, BITMAP = 1.5, 8.0, 1_000_000, 16, 3, 1 << 18
+BUCKET, FLUSH, HOT = 1 << 20, 1 << 21, 64  # keys in a bucket and in a task's buffer; texts of a buffer that make a key hot
 LARGE, WIDE = 1500, 256  # sets of at least LARGE tokens have a second sketch of WIDE words
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -105,6 +108,11 @@ def band_starts(growth: float = GROWTH) -> np.ndarray:
     return np.array(starts)
 
 
+def apart(size: int, percent: int) -> int:
+    """In how many tokens a set of that size and a similar one differ at most."""
+    return (size + size * 100 // percent) * (100 - percent) // (100 + percent)
+
+
 @functools.lru_cache(None)
 def allocation(band: int, percent: int) -> tuple[int, int, int, int]:
     """(segments of allocation 2, of allocation 1, spare ones for empty segments, for costly ones) of a band; all 0: only equal sets.
@@ -113,10 +121,10 @@ def allocation(band: int, percent: int) -> tuple[int, int, int, int]:
     """
     starts = band_starts()
     low, high = int(starts[band]), int(starts[band + 1]) - 1
-    differ = (high + high * 100 // percent) * (100 - percent) // (100 + percent)
+    differ = apart(high, percent)
     if differ == 0:
         return 0, 0, 0, 0
-    costly, best = 2 + differ // 10, None
+    costly, best = 2 + apart(low, percent) // 10, None
     for twos in {0, 1, 2, 4, (differ + costly) // 4, (differ + costly) // 2}:
         empty = 0
         for _ in range(8):
@@ -131,35 +139,64 @@ def allocation(band: int, percent: int) -> tuple[int, int, int, int]:
     return best[1], best[2], best[3], costly
 
 
+def bands_of(size: int, percent: int) -> range:
+    """The bands where similar sets may meet one of that size."""
+    first, last = np.searchsorted(band_starts(), [-(-size * percent // 100), size], "right") - 1
+    return range(max(0, int(first)), int(last) + 1)
+
+
+@functools.lru_cache(1 << 14)
+def segments_of(size: int, percent: int) -> list[tuple[int, int, int, int, int]]:
+    """For each of a set's bands: (band, its segments of allocation 2, of allocation 1, how many of the latter the set needs, spare for empty ones).
+
+    A small set of a band differs in fewer tokens from similar ones, so it needs only the first segments. Of two
+    similar sets the one that needs fewer still needs more than they differ in, and the other has all of those.
+    """
+    out = []
+    for band in bands_of(size, percent):
+        n2, n1, spare, costly = allocation(band, percent)
+        if n1 + n2:
+            need = apart(size, percent) + 1 + costly + spare - 2 * n2
+            out.append((band, n2, n1, min(n1, max(0, need)), spare))
+    return out
+
+
+def keys_about(size: int, percent: int) -> int:
+    """How many keys a set of that size has, about."""
+    return sum(n2 + need + size * n2 // (n1 + n2) for _, n2, n1, need, _ in segments_of(size, percent))
+
+
+def spare_of(size: int, percent: int) -> int:
+    """How many costly segments a set of that size may leave out in each of its bands."""
+    return min((allocation(band, percent)[3] for band, *_ in segments_of(size, percent)), default=0)
+
+
 def signatures(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of a set's segments in every band where similar sets may meet it: of allocation 1, of allocation 2, and of one-deletion neighbours.
 
     A key's lowest two bits tell the band from the next ones. Empty segments of allocation 1 are left out
     where they are no more than the band's spare ones: similar sets then agree on enough others.
     """
-    n, starts = len(tokens), band_starts()
     ones, twos, deleted = [], [], []
-    first, last = np.searchsorted(starts, [-(-n * percent // 100), n], "right") - 1
     value = mix(tokens + MIX)
-    for band in range(max(0, int(first)), int(last) + 1):
-        n2, n1, spare, _ = allocation(band, percent)
-        if not n1 + n2:
-            continue
+    for band, n2, n1, need, spare in segments_of(len(tokens), percent):
         segment = ((tokens >> np.uint64(20)) % np.uint64(n1 + n2)).astype(np.int64)
+        used = segment < n2 + need
+        segment, own = segment[used], value[used]
         order = np.argsort(segment, kind="stable")
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[order], dtype=np.uint64)])
-        bounds = np.searchsorted(segment[order], np.arange(n1 + n2 + 1))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own[order], dtype=np.uint64)])
+        bounds = np.searchsorted(segment[order], np.arange(n2 + need + 1))
         total = total[bounds[1:]] - total[bounds[:-1]]
         filled = np.diff(bounds[n2:]) > 0
-        filled |= n1 - np.count_nonzero(filled) > spare
-        seed = mix(np.arange(n1 + n2, dtype=np.uint64) + np.uint64((band + 1) << 40))
+        filled |= need - np.count_nonzero(filled) > spare
+        seed = mix(np.arange(n2 + need, dtype=np.uint64) + np.uint64((band + 1) << 40))
         as_key = lambda x, b=band: (mix(x) << np.uint64(2)) | np.uint64(b & 3)
         keys = as_key(total + seed)
         twos.append(keys[:n2])
         ones.append(keys[n2:][filled])
         if n2:
             at = order[: bounds[n2]]
-            deleted.append(as_key((total + seed)[segment[at]] - value[at]))
+            deleted.append(as_key((total + seed)[segment[at]] - own[at]))
     joined = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint64)
     return joined(ones), joined(twos), joined(deleted)
 
@@ -176,9 +213,18 @@ def sketch(tokens: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def fingerprints(tokens: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two hashes of a set."""
+    return mix(tokens ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64), mix(tokens + np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64)
+
+
+def as_longs(x: list) -> pa.Array:
+    return pa.array(np.array(x, np.uint64).view(np.int64))
+
+
 def digested(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, two fingerprints of the set, keys, sketch."""
-    schema = "doc_id long, n_shingles long, f1 long, f2 long, ones array<long>, twos array<long>, deleted array<long>, sketch array<long>, wide array<long>"
+    """docs (doc_id, text) -> doc_id, n_shingles, two fingerprints of the set, about how many keys it has, how many it may leave out, sketches."""
+    schema = "doc_id long, n_shingles long, f1 long, f2 long, n_keys long, spare long, sketch array<long>, wide array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -186,18 +232,155 @@ def digested(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 batch = whole.slice(at, 1024)
                 sizes, f1, f2, keys, sketches, wides = [], [], [], [], [], []
                 for tokens in token_sets(batch.column(1), n):
+                    one, two = fingerprints(tokens)
                     sizes.append(len(tokens))
-                    f1.append(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
-                    f2.append(mix(tokens + np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64))
-                    keys.append(signatures(tokens, percent))
+                    f1.append(one)
+                    f2.append(two)
+                    keys.append((keys_about(len(tokens), percent), spare_of(len(tokens), percent)))
                     sketches.append(sketch(tokens, WORDS))
                     wides.append(sketch(tokens, WIDE) if len(tokens) >= LARGE else tokens[:0])
-                as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), as_long(f1), as_long(f2), *(lists([k[i] for k in keys]) for i in range(3)), lists(sketches), lists(wides)], ["doc_id", "n_shingles", "f1", "f2", "ones", "twos", "deleted", "sketch", "wide"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), as_longs(f1), as_longs(f2), *(pa.array([k[i] for k in keys], pa.int64()) for i in range(2)), lists(sketches), lists(wides)], [c.split()[0] for c in schema.split(", ")])
 
     return docs.mapInArrow(run, schema)
 
 
+BLOCKS = "bucket int, home int, state int, words binary, nodes binary"
+OWN, MEMBERS, STANDINS = 0, 1, 2  # states of a block: all rows of its keys; rows of hot keys, dealt to any bucket; a few of them in their own bucket
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, so that equal high bytes lie together and compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+class Buffer:
+    """Keys of a task's texts, sorted and packed by bucket whenever there are FLUSH of them. A word: 28 bits of the key, 2 of the band, 2 of the kind."""
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.sizes, self.kinds, self.nodes, self.total, self.seen = [], [], [], [], 0, set()
+
+    def add(self, node: int, tokens: np.ndarray, one: np.uint64, percent: int) -> None:
+        if (node, int(one)) in self.seen:
+            return
+        self.seen.add((node, int(one)))
+        keys = signatures(tokens, percent)
+        self.keys += keys
+        self.sizes += map(len, keys)
+        self.kinds += range(3)
+        self.nodes += [node] * 3
+        self.total += sum(map(len, keys))
+
+    def blocks(self) -> Iterator[pa.RecordBatch]:
+        if not self.total:
+            self.clear()
+            return
+        keys = np.concatenate(self.keys)
+        at = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        word = ((keys & np.uint64((1 << 30) - 1)) << np.uint64(2)) | np.array(self.kinds, np.uint64)[at]
+        place = (((keys >> np.uint64(32)) % np.uint64(self.buckets)) << np.uint64(32)) | word
+        order = np.argsort(place, kind="stable")
+        place, nodes = place[order], np.array(self.nodes, np.int64)[at[order]]
+        self.clear()
+        # Runs of one key, of whatever kind.
+        first = np.flatnonzero(np.concatenate([[True], (place[1:] >> np.uint64(2)) != (place[:-1] >> np.uint64(2))]))
+        size = np.diff(np.append(first, len(place)))
+        hot = np.repeat(size > HOT, size)
+        standin = np.zeros(len(place), bool)
+        for k in range(3):
+            standin[first[size > HOT] + k] = True
+        rows = [self.cut_up(place, nodes, part, state) for part, state in ((~hot, OWN), (hot, MEMBERS), (standin, STANDINS)) if part.any()]
+        columns = [np.concatenate([r[i] for r in rows]) for i in range(3)]
+        words, ids = ([x for r in rows for x in r[i]] for i in (3, 4))
+        yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in columns), pa.array(words, pa.binary()), pa.array(ids, pa.binary())], [c.split()[0] for c in BLOCKS.split(", ")])
+
+    def cut_up(self, place: np.ndarray, nodes: np.ndarray, part: np.ndarray, state: int) -> tuple:
+        place, nodes = place[part], nodes[part]
+        home = (place >> np.uint64(32)).astype(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]]))
+        if state == MEMBERS:  # long runs go to several buckets
+            starts = np.union1d(starts, np.arange(0, len(home), 1 << 14))
+        ends = np.append(starts[1:], len(home))
+        words = [packed(place[a:b].astype(np.uint32)) for a, b in zip(starts, ends, strict=True)]
+        ids = [packed(nodes[a:b]) for a, b in zip(starts, ends, strict=True)]
+        bucket = home[starts]
+        if state == MEMBERS:
+            bucket = (mix(nodes[starts].astype(np.uint64) + MIX * place[starts]) % np.uint64(self.buckets)).astype(np.int64)
+        return bucket, home[starts], np.full(len(starts), state), words, ids
+
+
+def dealt(texts: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """texts (doc_id, text, skip: the first fingerprints of the id's sets that are another node's) -> BLOCKS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffer = Buffer(buckets)
+        for whole in batches:
+            for at in range(0, len(whole), 512):
+                batch = whole.slice(at, 512)
+                for node, skip, tokens in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), token_sets(batch.column(1), n), strict=True):
+                    if len(tokens):
+                        one = fingerprints(tokens)[0]
+                        if not skip or int(one.astype(np.int64)) not in skip:
+                            buffer.add(node, tokens, one, percent)
+                    if buffer.total >= FLUSH:
+                        yield from buffer.blocks()
+        yield from buffer.blocks()
+
+    return texts.mapInArrow(run, BLOCKS)
+
+
+def meetings(blocks: DataFrame) -> DataFrame:
+    """BLOCKS -> rows (key, node, kind, times) of the keys that more than two nodes have, and (a, b) of those that two have.
+
+    times: in how many rows the key was counted at least. A key whose rows are all one-deletion neighbours is none.
+    """
+    schema = "key long, node long, kind int, times int, a long, b long"
+
+    def run(group: pa.Table) -> pa.Table:
+        parts = {OWN: [], MEMBERS: [], STANDINS: []}
+        for home, state, words, ids in zip(*(group.column(c).to_pylist() for c in ("home", "state", "words", "nodes")), strict=True):
+            word = unpacked(words, "<u4").astype(np.uint64)
+            parts[state].append((np.uint64(home) << np.uint64(32) | word, unpacked(ids, "<i8")))
+        here = parts[OWN] + parts[STANDINS]
+        word, node = (np.concatenate([h[i] for h in here]) if here else np.zeros(0, t) for i, t in ((0, np.uint64), (1, np.int64)))
+        stands = np.zeros(len(word), bool)
+        stands[sum(len(w) for w, _ in parts[OWN]) :] = True
+        order = np.lexsort((word, node, word >> np.uint64(2)))
+        word, node, stands = word[order], node[order], stands[order]
+        key, kind = (word >> np.uint64(2)).astype(np.int64), (word & np.uint64(3)).astype(np.int32)
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])]) if len(key) else np.zeros(0, bool)
+        key, node, kind, stands = key[new], node[new], kind[new], stands[new]  # the least kind of each key and node
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(key)))
+        least = np.minimum.reduceat(kind, first) if len(first) else kind
+        stood = np.logical_or.reduceat(stands, first) if len(first) else np.zeros(0, bool)
+        two = first[(size == 2) & (least < 2) & ~stood]
+        many = np.repeat(stood | ((size > 2) & (least < 2)), size) & ~stands
+        times = np.repeat(size, size)[many]
+        rows = [(key[many], node[many], kind[many], times)]
+        if parts[MEMBERS]:
+            word, node_ = (np.concatenate([m[i] for m in parts[MEMBERS]]) for i in range(2))
+            order = np.argsort(word >> np.uint64(2), kind="stable")
+            hot = (word >> np.uint64(2)).astype(np.int64)[order]
+            _, size = np.unique(hot, return_counts=True)
+            rows.append((hot, node_[order], (word & np.uint64(3)).astype(np.int32)[order], np.repeat(size, size)))
+        k, v, kind_, times = (np.concatenate([r[i] for r in rows]) for i in range(4))
+        none = lambda m, t: pa.nulls(m, t)
+        heavy = pa.table([pa.array(k), pa.array(v), pa.array(kind_.astype(np.int32)), pa.array(times.astype(np.int32)), none(len(k), pa.int64()), none(len(k), pa.int64())], names=[c.split()[0] for c in schema.split(", ")])
+        light = pa.table([none(len(two), pa.int64()), none(len(two), pa.int64()), none(len(two), pa.int32()), none(len(two), pa.int32()), pa.array(node[two]), pa.array(node[two + 1])], names=heavy.column_names)
+        return pa.concat_tables([heavy, light])
+
+    return blocks.groupBy("bucket").applyInArrow(run, schema)
+
+
 def with_tokens(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -208,16 +391,16 @@ def with_tokens(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, tokens array<long>")
 
 
-def mark_held(rows: DataFrame, column: str, keys: DataFrame, words: int = BITMAP) -> DataFrame:
-    """Adds _held: whether the column may be among the keys (never false if it is), by a bitmap of 64 * words bits.
+def mark_held(rows: DataFrame, column: str, keys: DataFrame, held: str = "_held", words: int = BITMAP) -> DataFrame:
+    """Adds held: whether the column may be among the keys (never false if it is), by a bitmap of 64 * words bits.
 
     At most that many words are broadcast, however many keys there are; rows are not shuffled.
     """
     slot, bit = lambda c: F.pmod(F.shiftrightunsigned(F.xxhash64(c), 6), F.lit(words)), lambda c: F.xxhash64(c).bitwiseAND(63).cast("int")
-    key, c = F.col(keys.columns[0]), F.col(column)
-    bitmap = keys.select(slot(key).alias("_slot"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(key)).alias("_bit")).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
-    marked = rows.withColumn("_slot", slot(c)).join(F.broadcast(bitmap), "_slot", "left")
-    return marked.withColumn("_held", F.coalesce(F.getbit("_bits", bit(c)) == 1, F.lit(False))).drop("_slot", "_bits")
+    key, mine, bits = F.col(keys.columns[0]), held + "_slot", held + "_bits"
+    bitmap = keys.select(slot(key).alias(mine), F.call_function("shiftleft", F.lit(1).cast("long"), bit(key)).alias("bit")).groupBy(mine).agg(F.bit_or("bit").alias(bits))
+    marked = rows.withColumn(mine, slot(F.col(column))).join(F.broadcast(bitmap), mine, "left")
+    return marked.select(*rows.columns, F.coalesce(F.getbit(bits, bit(F.col(column))) == 1, F.lit(False)).alias(held))
 
 
 def may_hold(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
@@ -242,19 +425,24 @@ def odd(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col("s" + a)[i].bitwiseXOR(F.col("s" + b)[i])) for i in range(WORDS)), F.lit(0))
 
 
-def spare_of(size: Column, percent: int) -> Column:
-    """How many costly segments a set of that size may leave out in any of its bands: what the lowest band allows, or less."""
-    low = F.ceil(size * percent / 100)
-    differ = (low + F.floor(low * 100 / percent)) * (100 - percent) / (100 + percent)
-    return F.greatest(2 + F.floor((F.floor(differ) - 1) / 10), F.lit(0))
 
 
-def near(a: str, b: str, percent: int) -> Column:
+def within(differ: Column, percent: int) -> Column:
+    return differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+
+
+def near(percent: int) -> Column:
     """Whether sizes and sketches allow the similarity."""
-    m, n, v, w = F.col("n" + a), F.col("n" + b), F.col("w" + a), F.col("w" + b)
-    within = lambda apart: apart * (100 + percent) <= (m + n) * (100 - percent)
-    wide = F.aggregate(F.zip_with(v, w, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    return (F.least(m, n) * 100 >= F.greatest(m, n) * percent) & within(odd(a, b)) & F.when((F.size(v) > 0) & (F.size(w) > 0), within(wide)).otherwise(True)
+    m, n = F.col("na"), F.col("nb")
+    return (F.least(m, n) * 100 >= F.greatest(m, n) * percent) & within(odd("a", "b"), percent)
+
+
+def near_too(pairs: DataFrame, wides: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, na, b, nb) those that the wide sketches allow, where both sets have one."""
+    large = (F.col("na") >= LARGE) & (F.col("nb") >= LARGE)
+    both = pairs.where(large).join(wides.toDF("a", "v"), "a").join(wides.toDF("b", "w"), "b")
+    differ = F.aggregate(F.zip_with("v", "w", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return pairs.where(~large).select("a", "b").union(both.where(within(differ, percent)).select("a", "b"))
 
 
 SETS = ["f1", "f2", "n_shingles"]
@@ -262,9 +450,7 @@ SETS = ["f1", "f2", "n_shingles"]
 
 def met(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, ...]:
     """(small: doc_id and its set's fingerprints, classes: the least id of each set as its node, known: size and sketch of the nodes,
-    light: pairs that alone share a key, heavy: the rows of keys that more share).
-
-    The keys themselves are gone from disk once this returns.
+    wides: wide sketches of the large ones, light: pairs that alone share a key, heavy: the rows of keys that more share).
     """
     found = cut(digested(docs, n, percent))
     small = cut(found.select("doc_id", *SETS))
@@ -273,58 +459,55 @@ def met(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, ...]:
     copies = cut(small.join(classes, SETS).where("doc_id <> node").select("doc_id", "f1", "f2").distinct())
     marked = mark_held(found.where("n_shingles > 0 and doc_id is not null"), "doc_id", copies.select("doc_id"))
     alone = marked.where("not _held").union(marked.where("_held").join(copies, ["doc_id", "f1", "f2"], "left_anti").select(*marked.columns))
-    nodes = alone.select(F.col("doc_id").alias("node"), "n_shingles", "ones", "twos", "deleted", "sketch", "wide")
-    known = cut(nodes.select("node", "n_shingles", "sketch", "wide").dropDuplicates(["node"]))
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("keys")) for k, c in ((0, "ones"), (1, "twos"), (2, "deleted"))])
-    rows = nodes.select("node", "n_shingles", F.explode(kinds).alias("k")).select("node", "n_shingles", F.col("k.kind").alias("kind"), F.explode("k.keys").alias("key"))
-    # In slices, so that only one slice's keys are in shuffle files at a time.
-    shared = None
-    for i in range(SLICES):
-        part = rows.where(F.pmod(F.shiftright("key", 2), F.lit(SLICES)) == i).groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("times"), F.min("kind").alias("least")).where("a <> b and least < 2")
-        part = cut(part)
-        shared = part if shared is None else shared.union(part)
-        free(docs.sparkSession)
-    # Keys of two rows are a pair; the rows of the others are fetched.
-    light = cut(shared.where("times = 2").select("a", "b").distinct())
-    often = shared.where("times > 2").select("key", "times")
-    heavy = may_hold(rows, "key", often.select("key")).join(often, "key").withColumn("spare", spare_of(F.col("n_shingles"), percent))
+    nodes = cut(alone.withColumnRenamed("doc_id", "node").dropDuplicates(["node", "f1", "f2"]).drop("f1", "f2", "_held"))
+    known, wides = nodes.select("node", "n_shingles", "sketch"), nodes.where(F.size("wide") > 0).select("node", "wide")
+    texts = mark_held(docs.where("doc_id is not null"), "doc_id", copies.select("doc_id"))
+    others = copies.groupBy("doc_id").agg(F.collect_set("f1").alias("skip"))
+    texts = texts.where("not _held").select("doc_id", "text", F.lit(None).cast("array<long>").alias("skip")).union(texts.where("_held").join(others, "doc_id", "left").select("doc_id", "text", "skip"))
+    keys = nodes.agg(F.sum("n_keys")).first()[0] or 0
+    shared = cut(meetings(dealt(texts, n, percent, max(1, -(-keys // BUCKET)))))
+    light = cut(shared.where("a is not null").select("a", "b").distinct())
+    heavy = shared.where("key is not null").select("key", "node", "kind", "times").join(nodes.select("node", "spare"), "node")
     costly = Window.partitionBy("node", F.col("key").bitwiseAND(3), F.col("kind") == 0).orderBy(F.desc("times"), "key")
-    heavy = heavy.withColumn("left_out", (F.col("kind") == 0) & (F.row_number().over(costly) <= F.col("spare")))
-    return small, classes, known, light, cut(heavy.select("key", "node", "kind", "left_out"))
+    heavy = cut(heavy.withColumn("left_out", (F.col("kind") == 0) & (F.row_number().over(costly) <= F.col("spare"))).select("key", "node", "kind", "left_out"))
+    drop(found, copies, shared)
+    return small, classes, known, wides, light, heavy
 
 
 def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id: components of links of at least percent / 100 similarity."""
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    small, classes, known, light, heavy = met(docs, n, percent)
-    free(docs.sparkSession)
+    small, classes, known, wides, light, rows = met(docs, n, percent)
+    about = lambda x: known.toDF(x, "n" + x, "s" + x)
     orders = [F.struct(F.xxhash64("node", F.lit(i)), "node") for i in range(CENTRES)]
-    centres = heavy.groupBy("key").agg(F.max(~F.col("left_out")).alias("used"), F.array(*[F.min(o)["node"] for o in orders]).alias("centres")).where("used").select("key", F.explode(F.array_distinct("centres")).alias("c"))
-    stars = heavy.join(centres, "key").where("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
-    about = lambda x: known.toDF(x, "n" + x, "s" + x, "w" + x)
-    pairs = light.union(stars).distinct().join(about("a"), "a").join(about("b"), "b")
-    links = cut(verified(cut(pairs.where(near("a", "b", percent)).select("a", "b")), docs, n, percent))
-    joined = cut(components(links))
-    free(docs.sparkSession)
-    used = centres.select("key").distinct()
-    heavy = cut(heavy.join(used, "key", "left_semi").join(known, "node"))
+    centres = rows.groupBy("key").agg(F.max(~F.col("left_out")).alias("used"), F.array(*[F.min(o)["node"] for o in orders]).alias("centres"))
+    centres = cut(centres.where("used").select("key", F.array_distinct("centres").alias("c")))
+    heavy = cut(spread(rows, centres, "key"))
+    stars = heavy.select("node", F.explode("c").alias("c")).where("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
+    pairs = cut(light.union(stars).distinct().join(about("a"), "a").join(about("b"), "b").where(near(percent)).select("a", "na", "b", "nb"))
+    close = cut(near_too(pairs, wides, percent).distinct())
+    links = [cut(verified(close, docs, n, percent))]
+    joined = components(links[0])
+    drop(light, rows, centres, pairs, close)
     for closest in (True, False):
-        placed = heavy.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = heavy.select("key", "node", "kind", "left_out").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("key")
-        open_ = placed.join(mixed, "key", "left_semi").select("key", "node", "n_shingles", "sketch", "wide", "component", "kind", "left_out")
-        one, two = (open_.toDF("key", x, "n" + x, "s" + x, "w" + x, "component" + x, "kind" + x, "left_out" + x) for x in "ab")
-        meet = F.expr("a < b and componenta <> componentb and not (left_outa and left_outb) and (kinda < 2 or kindb < 2)") & near("a", "b", percent)
+        open_ = cut(spread(placed, mixed, "key").join(known, "node").select("key", "node", "n_shingles", "sketch", "component", "kind", "left_out"))
+        one, two = (open_.toDF("key", x, "n" + x, "s" + x, "component" + x, "kind" + x, "left_out" + x) for x in "ab")
+        meet = F.expr("a < b and componenta <> componentb and not (left_outa and left_outb) and (kinda < 2 or kindb < 2)") & near(percent)
         across = one.join(two, (one["key"] == two["key"]) & meet)
         if closest:
-            across = across.groupBy("a", "componentb").agg(F.min_by("b", odd("a", "b")).alias("b"))
-        candidates = cut(across.select("a", "b").distinct())
-        if candidates.isEmpty():
-            break
-        more = cut(verified(candidates, docs, n, percent))
-        if not more.isEmpty():
-            links = links.union(more)
-            joined = cut(components(links))
+            across = across.groupBy("a", "componentb").agg(F.min_by(F.struct("na", "b", "nb"), odd("a", "b")).alias("p")).select("a", "p.na", "p.b", "p.nb")
+        pairs = cut(across.select("a", "na", "b", "nb").distinct())
+        candidates = cut(near_too(pairs, wides, percent).distinct())
+        more = None if candidates.isEmpty() else cut(verified(candidates, docs, n, percent))
+        drop(open_, pairs, candidates)
+        if more is not None and not more.isEmpty():
+            links.append(more)
+            drop(joined)
+            joined = components(functools.reduce(DataFrame.union, links))
+    drop(heavy, *links)
     labelled = classes.join(joined, "node", "left").select(*SETS, F.coalesce("component", "node").alias("component_id"))
     return small.join(labelled, SETS, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

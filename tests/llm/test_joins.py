@@ -51,8 +51,10 @@ def brute(docs, n, percent):
     return {i: (len(sets[i]), label[i]) for i in ids}
 
 
-@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
-def test_jaccard(spark, n, percent):
+@pytest.mark.parametrize("n,percent,hot,bucket", [(3, 90, 64, 1 << 20), (5, 80, 64, 1 << 20), (5, 80, 4, 2000), (3, 90, 3, 500)])
+def test_jaccard(spark, monkeypatch, n, percent, hot, bucket):
+    monkeypatch.setattr(set_join, "HOT", hot)
+    monkeypatch.setattr(set_join, "BUCKET", bucket)
     rng = random.Random(n)
     vocabulary = [f"w{i}" for i in range(400)]
     docs = []
@@ -94,16 +96,26 @@ def test_allocation_covers_the_bound():
             assert differ == 0 or 2 * twos + ones >= differ + 1 + empty + costly
 
 
-def test_spare_fits_every_band(spark):
-    """What a set leaves out is allowed in each band in which it has keys."""
-    from pyspark.sql import functions as F
-
+def test_sets_keep_enough_segments():
+    """Two similar sets agree on one more segment than both may leave out, among those that both use, in the smaller one's band."""
     for percent in (80, 90):
-        starts = set_join.band_starts()
-        for r in spark.range(1, 3000).select("id", set_join.spare_of(F.col("id"), percent).alias("s")).collect():
-            first, last = np.searchsorted(starts, [-(-r["id"] * percent // 100), r["id"]], "right") - 1
-            allowed = [set_join.allocation(int(b), percent)[3] for b in range(first, last + 1) if sum(set_join.allocation(int(b), percent)[:2])]
-            assert not allowed or r["s"] <= min(allowed), r
+        for small in [*range(1, 400), 999, 5000]:
+            for large in {small, small * 100 // percent, (small + small * 100 // percent) // 2}:
+                differ = (small + large) * (100 - percent) // (100 + percent)
+                own = set_join.bands_of(small, percent)[-1]
+                both = [(x, y) for x in set_join.segments_of(small, percent) for y in set_join.segments_of(large, percent) if x[0] == y[0] == own]
+                if differ == 0 and not both:
+                    continue
+                assert both, (small, large)
+                for (band, twos, _, one, empty), (_, _, _, two, _) in both:
+                    spare = empty + max(set_join.spare_of(small, percent), set_join.spare_of(large, percent))
+                    assert 2 * twos + min(one, two) >= differ + 1 + spare, (small, large, band)
+
+
+def test_blocks_round_trip():
+    x = np.random.default_rng(0).integers(0, 2**63, 1000)
+    assert (set_join.unpacked(set_join.packed(x), "<i8") == x).all()
+    assert (set_join.unpacked(set_join.packed(x.astype(np.uint32)), "<u4") == x.astype(np.uint32)).all()
 
 
 def vectors(rng):
