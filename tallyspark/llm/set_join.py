@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import MIX, components, cut, drop, mix, ship, spread, table
 
-GROWTH, PENALTY, CHUNK, WORDS, CENTRES, BITMAP = 1.5, 8.0, 1_000_000, 16, 3, 1 << 18
+GROWTH, PENALTY, CHUNK, WORDS, CENTRES, BITMAP = 1.5, 30.0, 1_000_000, 16, 3, 1 << 18
 BUCKET, FLUSH, HOT = 1 << 20, 1 << 21, 64  # keys in a bucket and in a task's buffer; texts of a buffer that make a key hot
 LARGE, WIDE = 1500, 256  # sets of at least LARGE tokens have a second sketch of WIDE words
 
@@ -125,17 +125,26 @@ def allocation(band: int, percent: int) -> tuple[int, int, int, int]:
     if differ == 0:
         return 0, 0, 0, 0
     costly, best = 2 + apart(low, percent) // 10, None
-    for twos in {0, 1, 2, 4, (differ + costly) // 4, (differ + costly) // 2}:
-        empty = 0
-        for _ in range(8):
-            n = twos + max(0, differ + 1 + costly + empty - 2 * twos)
-            often = n * exp(-low / n)
-            empty = min(n, ceil(often + 4 * sqrt(often)))
-        ones = max(0, differ + 1 + costly + empty - 2 * twos)
+
+    def empties(twos: int, ones: int) -> tuple[float, float]:
+        """What a set's empty segments cost on the average, and with a deviation that few sets exceed."""
         filled = low / (twos + ones)
-        cost = ones + twos * (1 + filled) + PENALTY * (twos + ones) * exp(-1.2 * filled)
-        if best is None or (cost, twos) < best[:2]:
-            best = cost, twos, ones, empty
+        often, spread = ((twos * (a + filled) + ones) * exp(-filled) for a in (2, 4))
+        return often, often + 4 * sqrt(spread)
+
+    for twos in {0, 1, 2, 4, (differ + costly) // 4, (differ + costly) // 2, differ // 2 + costly}:
+        for spared in (False, True):
+            empty = 0
+            for _ in range(8 if spared else 0):
+                empty = min(2 * differ + 8, ceil(empties(twos, max(1 - min(twos, 1), differ + 1 + costly + empty - 2 * twos))[1]))
+            ones = max(0, differ + 1 + costly + empty - 2 * twos)
+            filled = low / (twos + ones)
+            often, most = empties(twos, ones)
+            # Sets whose empty segments are not spared all meet by them.
+            matches = exp(-1.2 * filled) * (twos + ones) + (often if most > empty else 0)
+            cost = ones + twos * (1 + filled) + PENALTY * matches
+            if best is None or (cost, twos) < best[:2]:
+                best = cost, twos, ones, empty
     return best[1], best[2], best[3], costly
 
 
@@ -174,8 +183,9 @@ def spare_of(size: int, percent: int) -> int:
 def signatures(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of a set's segments in every band where similar sets may meet it: of allocation 1, of allocation 2, and of one-deletion neighbours.
 
-    A key's lowest two bits tell the band from the next ones. Empty segments of allocation 1 are left out
-    where they are no more than the band's spare ones: similar sets then agree on enough others.
+    A key's lowest two bits tell the band from the next ones. The keys of empty segments are left out where that
+    costs no more than the band's spare: similar sets then agree on enough others. It costs 1 for an empty segment of
+    allocation 1, 2 for one of allocation 2, and 1 for one of a single token, whose neighbour is empty.
     """
     ones, twos, deleted = [], [], []
     value = mix(tokens + MIX)
@@ -187,15 +197,17 @@ def signatures(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own[order], dtype=np.uint64)])
         bounds = np.searchsorted(segment[order], np.arange(n2 + need + 1))
         total = total[bounds[1:]] - total[bounds[:-1]]
-        filled = np.diff(bounds[n2:]) > 0
-        filled |= need - np.count_nonzero(filled) > spare
+        size = np.diff(bounds)
+        all_ = need - np.count_nonzero(size[n2:]) + 2 * np.count_nonzero(size[:n2] == 0) + np.count_nonzero(size[:n2] == 1) > spare
+        filled = (size > 0) | all_
         seed = mix(np.arange(n2 + need, dtype=np.uint64) + np.uint64((band + 1) << 40))
         as_key = lambda x, b=band: (mix(x) << np.uint64(2)) | np.uint64(b & 3)
         keys = as_key(total + seed)
-        twos.append(keys[:n2])
-        ones.append(keys[n2:][filled])
+        twos.append(keys[:n2][filled[:n2]])
+        ones.append(keys[n2:][filled[n2:]])
         if n2:
             at = order[: bounds[n2]]
+            at = at[(size[segment[at]] > 1) | all_]
             deleted.append(as_key((total + seed)[segment[at]] - own[at]))
     joined = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint64)
     return joined(ones), joined(twos), joined(deleted)
