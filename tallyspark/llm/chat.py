@@ -8,8 +8,9 @@ each conversation in order, so that no conversation is ever held as a whole.
 
 Nulls: a null text or role is empty, null parts give an empty message, parts of unknown kind become a
 document placeholder; a null turn comes first; rows with a null conv_id form one conversation of their
-own. Repeated rows are turns of their own; turns with the same number go by role, then text. Empty
-tables give no rows. Other columns are not read.
+own. Repeated rows are turns of their own; turns with the same number go by role, then text. Very long texts are
+formatted as a whole, one at a time; a conversation's turns stream through one task, since its digest needs
+their order. Empty tables give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from .common import ship, table
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 CONTROL = ["<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<start_of_turn>", "<end_of_turn>", "<bos>", "<eos>", "<pad>"]
 
-_CONTROL = re.compile("|".join(map(re.escape, sorted(CONTROL, key=len, reverse=True))))
+# The first sign of each control string, also where one begins inside another.
+_CONTROL = re.compile(f"(?={'|'.join(map(re.escape, CONTROL))})(.)", re.S)
 _ESCAPED = re.compile(r"\\(.)", re.S)
 _MARK = re.compile(r"<\|(turn|body|end|image:\d+|audio:\d+|document:\d+)\|>")
 
@@ -39,7 +41,7 @@ FORMATTED = "conv_id long, turn long, role string, piece string, loss array<stru
 
 def escape(text: str) -> str:
     """A backslash before each backslash, and after the first sign of each control string."""
-    return _CONTROL.sub(lambda m: f"{m[0][0]}\\{m[0][1:]}", text.replace("\\", "\\\\"))
+    return _CONTROL.sub(r"\1\\", text.replace("\\", "\\\\"))
 
 
 def unescape(text: str) -> str:

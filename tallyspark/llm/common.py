@@ -64,6 +64,18 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def append(parts: Iterator[DataFrame]) -> DataFrame:
+    """cut() of the union of frames of one schema, each written before the next one is made."""
+    out = path = None
+    for df in parts:
+        path = path or f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+        df.write.mode("append").parquet(path)
+        out = df
+    out = out.sparkSession.read.schema(out.schema).parquet(path)
+    out.cut_paths = [path]
+    return out
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete the tables that cut() wrote for these frames, once nothing unfinished reads them."""
     for df in frames:

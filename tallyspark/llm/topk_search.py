@@ -1,18 +1,20 @@
 """Exact top-k search by inner product with a three-phase uniform threshold.
 
-Vectors are split by dimension into `lists` lists, as if each list knew only a part of every score.
-1. Gather: every block of rows takes each list's local best for each query, with their whole scores; the
-   k-th best of these over all blocks is a cutoff that no true answer is below.
-2. Collect: with the cutoff t sent to all blocks, each list gives the rows whose part is at least
-   t / lists. A row whose score reaches t must be given by some list.
-3. Resolve: these rows' scores are completed exactly; the best k of those that reach t are the answer.
-
-Rows go in blocks against blocks of queries; both are dealt by number, so no key is hot. Nothing but
-counts and one maximum comes to the driver. Copies of a vector tie; ties go to the smaller id.
-
-Nulls: a null id, a null vector and one holding null or non-finite components take no part. Shorter
-vectors count as padded with zeros. Integer components are clipped to +-2**31. Repeated rows are
-candidates of their own, and one query. Empty tables give no rows. Other columns are not read.
+Vectors are split by dimension into `lists` lists, as if each list knew only a part of every score. Queries go
+in tiles of a bounded size, which are broadcast; rows stay where they are read, and are never shuffled.
+1. Gather: each task keeps, for each list and query, the k rows with the largest part in that list alone. The
+   scores of these rows are completed; the k-th best of a query over all tasks is a cutoff that no true answer is below.
+2. Collect: with the cutoff t sent to all tasks, each list gives the rows whose part is at least
+   t / lists; some list must give a row whose score reaches t. Rows whose norm in the list rules that out for all
+   queries of a block are left out of the product.
+3. Resolve: the scores of the rows that were given are completed exactly; the best k of those that reach t are the answer.
+
+Copies of a vector tie; ties go to the smaller id.
+
+Nulls: a null id, a null vector and one holding null or non-finite components take no part. Vectors of different
+lengths count as padded with zeros. Components so large that a score may not fit 64 bits are an error. Repeated
+rows are candidates of their own; of a repeated query id the smallest vector is the query. Empty tables give no
+rows. Both frames are read by position: id, vector; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import append, cut, ship, table
 
-ROWS, QUERIES, LOWEST = 2048, 1024, -(2**62)
+TILE, BLOCK, CELLS = 16_384, 512, 1 << 22  # queries of a tile and of a block; components of a block of rows
+NONE = -(2**62)  # below every score
 
 
 def whole(vector: Column) -> Column:
@@ -36,113 +39,164 @@ def whole(vector: Column) -> Column:
 
 def as_integers(vectors: pa.Array, width: int, scale: float) -> np.ndarray:
     sizes = np.diff(vectors.offsets.to_numpy())
+    values = np.floor(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * scale)
+    if np.abs(values).max(initial=0) >= 2.0**53:
+        raise OverflowError("a component is beyond 53 bits once scaled")
     out = np.zeros((len(sizes), width), np.int64)
-    values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    ints = np.clip(np.floor(values * scale), -(2.0**31), 2.0**31).astype(np.int64)
-    out[np.arange(width) < sizes[:, None]] = ints
+    out[np.arange(width) < sizes[:, None]] = values.astype(np.int64)
     return out
 
 
-def as_blocks(rows: DataFrame, width: int, scale: float) -> DataFrame:
-    """Rows (id, vector) in blocks as they are read, without a shuffle: (block, ids, matrix)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        n = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                part = batch.slice(at, ROWS)
-                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([ids.tobytes()], pa.binary()), pa.array([as_integers(part.column(1), width, scale).tobytes()], pa.binary())], ["block", "ids", "matrix"])
-                n += 1
-
-    return rows.mapInArrow(run, "block long, ids binary, matrix binary")
-
-
-def query_blocks(queries: DataFrame, n: int, width: int, scale: float) -> DataFrame:
-    """Queries (id, vector, cutoff) dealt to n blocks of about QUERIES: (qb, ids, matrix, cutoffs)."""
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        vectors = group.column("vector").combine_chunks()
-        blob = lambda x: pa.array([x.astype(np.int64).tobytes()], pa.binary())
-        return pa.table({"qb": group.column("qb").slice(0, 1), "q_ids": blob(group.column("id").to_numpy()), "q_matrix": blob(as_integers(vectors, width, scale)), "cutoffs": blob(group.column("cutoff").to_numpy())})
-
-    return queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n))).groupBy("qb").applyInArrow(run, "qb long, q_ids binary, q_matrix binary, cutoffs binary")
-
-
-def parts_of(x: np.ndarray, q: np.ndarray, lists: int) -> list[np.ndarray]:
-    """Each list's part of the scores, queries by rows; in doubles where these are exact."""
-    width = x.shape[1]
-    exact = width * float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) < 2**53
-    x, q = (x.astype(np.float64), q.astype(np.float64)) if exact else (x, q)
-    edges = np.linspace(0, width, lists + 1).astype(int)
-    return [(q[:, a:b] @ x[:, a:b].T).astype(np.int64) for a, b in zip(edges, edges[1:], strict=False)]
-
-
-def gather(parts: list[np.ndarray], own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query number, score) of the best k among what the lists name; own: the query itself, which is none."""
-    low = np.iinfo(np.int64).min // 2
-    total = np.where(own, low, sum(parts))
-    best = min(k, total.shape[1])
-    named = np.sort(np.concatenate([np.argpartition(np.where(own, low, p), -best, axis=1)[:, -best:] for p in parts], axis=1), axis=1)
-    scores = np.take_along_axis(total, named, 1)
-    scores[:, 1:][named[:, 1:] == named[:, :-1]] = low
-    scores = -np.sort(-scores, axis=1)[:, :k]
-    q, j = np.nonzero(scores > low)
-    return q, scores[q, j]
-
-
-def resolve(parts: list[np.ndarray], own: np.ndarray, cutoffs: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query number, id, score) of the best k that reach the cutoff, in this block."""
-    least = -(-cutoffs // len(parts))[:, None]
-    given = np.zeros(own.shape, bool)
-    for p in parts:
-        given |= p >= least
-    q, j = np.nonzero(given & ~own)
-    score = sum(p[q, j] for p in parts)
-    keep = score >= cutoffs[q]
-    q, i, score = q[keep], ids[j[keep]], score[keep]
-    order = np.lexsort((i, -score, q))
-    q, i, score = q[order], i[order], score[order]
-    first = np.searchsorted(q, q)
-    keep = np.arange(len(q)) - first < k
-    return q[keep], i[keep], score[keep]
+def comparable(x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both in doubles where all sums of products are exact in these, else as integers."""
+    most = x.shape[1] * int(np.abs(x).max(initial=0)) * int(np.abs(q).max(initial=0))
+    if most >= 2**62:
+        raise OverflowError("scores may be beyond 64 bits")
+    return (x.astype(np.float64), q.astype(np.float64)) if most < 2**53 else (x, q)
+
+
+def best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Which entries are among the best k of their query."""
+    order = np.lexsort((ids, -score, q))
+    ranked = q[order]
+    return order[np.arange(len(q)) - np.searchsorted(ranked, ranked) < k]
+
+
+class Tile:
+    """A tile of queries and what a task does with it."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, lists: int, k: int):
+        order = np.argsort(ids)
+        self.ids, self.matrix, self.k = ids[order], matrix[order], k
+        edges = np.linspace(0, matrix.shape[1], lists + 1).astype(int)
+        self.lists = [slice(a, b) for a, b in zip(edges, edges[1:], strict=False)]
+
+    def own(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) where a row has the query's id."""
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        row = np.flatnonzero(self.ids[at] == ids)
+        return at[row], row
+
+    def completed(self, x: np.ndarray, q: np.ndarray, row: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Whole scores of some pairs."""
+        out, step = np.zeros(len(row), np.int64), max(1, CELLS // max(1, x.shape[1]))
+        for at in range(0, len(row), step):
+            part = slice(at, at + step)
+            out[part] = (x[row[part]] * q[query[part]]).sum(1)
+        return out
+
+    def gather(self, blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score) of the rows that lists name, the best k of each query."""
+        least = np.full((len(self.lists), len(self.ids)), -np.inf)  # each list's k-th largest part so far
+        tops = [(np.zeros(0, np.int64), np.zeros(0)) for _ in self.lists]
+        found = tuple(np.zeros(0, np.int64) for _ in range(3))
+        for ids, rows in blocks:
+            x, q = comparable(rows, self.matrix)
+            own_q, own_r = self.own(ids)
+            named = [np.zeros(0, np.int64)]
+            for j, dims in enumerate(self.lists):
+                some_q, some_r, part = [], [], []
+                for low in range(0, len(q), BLOCK):
+                    p = (q[low : low + BLOCK, dims] @ x[:, dims].T).astype(np.float64)
+                    mine = (own_q >= low) & (own_q < low + BLOCK)
+                    p[own_q[mine] - low, own_r[mine]] = -np.inf
+                    a, b = np.nonzero(p > least[j, low : low + BLOCK, None])
+                    if len(a) > 4 * self.k * len(p):  # the list is still open: only its best can stay
+                        top = np.argpartition(p, -min(self.k, p.shape[1]), axis=1)[:, -self.k :]
+                        a, b = np.repeat(np.arange(len(p)), top.shape[1]), top.ravel()
+                        a, b = a[p[a, b] > -np.inf], b[p[a, b] > -np.inf]
+                    some_q.append(a + low)
+                    some_r.append(b)
+                    part.append(p[a, b])
+                a, b, v = (np.concatenate(z) for z in (some_q, some_r, part))
+                named.append(a * len(x) + b)
+                a, v = np.concatenate([tops[j][0], a]), np.concatenate([tops[j][1], v])
+                keep = best(a, np.zeros(len(a)), v, self.k)
+                tops[j] = a[keep], v[keep]
+                full = np.bincount(a[keep], minlength=len(self.ids)) >= self.k
+                lowest = np.full(len(self.ids), np.inf)
+                np.minimum.at(lowest, a[keep], v[keep])
+                least[j] = np.where(full, lowest, -np.inf)
+            pair = np.unique(np.concatenate(named))
+            query, row = pair // len(x), pair % len(x)
+            found = tuple(np.concatenate(z) for z in zip(found, (query, ids[row], self.completed(x, q, row, query)), strict=True))
+            keep = best(*found, self.k)
+            found = tuple(z[keep] for z in found)
+        return found
+
+    def answer(self, blocks: Iterator[tuple[np.ndarray, np.ndarray]], cutoffs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score) of the best k rows of each query whose scores reach its cutoff."""
+        least = -(-cutoffs // len(self.lists))
+        found = tuple(np.zeros(0, np.int64) for _ in range(3))
+        for ids, rows in blocks:
+            x, q = comparable(rows, self.matrix)
+            own_q, own_r = self.own(ids)
+            for low in range(0, len(q), BLOCK):
+                block, bound = q[low : low + BLOCK], least[low : low + BLOCK]
+                given = [np.zeros(0, np.int64)]
+                for dims in self.lists:
+                    size, length = (np.sqrt((z[:, dims].astype(np.float64) ** 2).sum(1)) for z in (x, block))
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        shortest = np.where(bound <= 0, 0, np.where(length > 0, bound / length, np.inf)).min(initial=np.inf)
+                    near = np.flatnonzero(size * (1 + 1e-9) >= shortest)
+                    if len(near):
+                        a, b = np.nonzero(block[:, dims] @ x[near][:, dims].T >= bound[:, None])
+                        given.append(a * len(x) + near[b])
+                pair = np.unique(np.concatenate(given))
+                query, row = pair // len(x) + low, pair % len(x)
+                mine = np.isin(pair + low * len(x), own_q * len(x) + own_r)
+                query, row = query[~mine], row[~mine]
+                score = self.completed(x, q, row, query)
+                keep = score >= cutoffs[query]
+                found = tuple(np.concatenate(z) for z in zip(found, (query[keep], ids[row[keep]], score[keep]), strict=True))
+            keep = best(*found, self.k)
+            found = tuple(z[keep] for z in found)
+        return found
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, lists: int = 4) -> DataFrame:
     """rows (id, vector), queries (id, vector) -> query_id, rank, vec_id, score. Components become floor(scale * x)."""
-    ship(rows.sparkSession)
-    rows = rows.toDF("id", "vector").where(F.col("id").isNotNull() & whole(F.col("vector"))).select(F.col("id").cast("long"), "vector")
-    queries = queries.toDF("id", "vector").where(F.col("id").isNotNull() & whole(F.col("vector"))).select(F.col("id").cast("long"), "vector").groupBy("id").agg(F.min("vector").alias("vector"))
-    n, width = rows.agg(F.count("*"), F.max(F.size("vector"))).first()
-    width, n_blocks = max(1, width or 1), max(1, -(-queries.count() // QUERIES))
-    salts = max(1, n // (512 * ROWS))
-    blocks = as_blocks(rows, width, scale).select("*", F.pmod(F.xxhash64("block"), F.lit(salts)).alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<long>")).alias("qb"))
-
-    def against(cutoffs: DataFrame | None, phase: str, schema: str) -> DataFrame:
-        with_cutoff = queries.withColumn("cutoff", F.lit(LOWEST)) if cutoffs is None else queries.join(cutoffs, "id", "left").fillna({"cutoff": LOWEST})
-        dealt = query_blocks(with_cutoff.select("id", "vector", "cutoff"), n_blocks, width, scale).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
+    spark = rows.sparkSession
+    ship(spark)
+    two = lambda df: df.select(df[df.columns[0]].cast("long").alias("id"), df[df.columns[1]].alias("vector")).where(F.col("id").isNotNull() & whole(F.col("vector")))
+    rows, queries = two(rows), two(queries).groupBy("id").agg(F.min("vector").alias("vector"))
+    queries = cut(queries)
+    n, wide = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
+    width = max(1, wide or 1, rows.agg(F.max(F.size("vector"))).first()[0] or 1)
+    tiles = max(1, -(-n // TILE))
+    tile_of = F.pmod(F.xxhash64("id"), F.lit(tiles))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    top = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    step, schema = max(1, CELLS // width), "query_id long, vec_id long, score long"
 
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for at in range(0, len(batch), step):
+                part = batch.slice(at, step)
+                yield part.column(0).to_numpy(zero_copy_only=False), as_integers(part.column(1), width, scale)
+
+    def over_rows(tile, cutoffs) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            as_long = lambda b: np.frombuffer(b, np.int64)
-            for batch in batches:
-                for ids, matrix, q_ids, q_matrix, limits in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                    ids, q_ids, limits = as_long(ids), as_long(q_ids), as_long(limits)
-                    parts = parts_of(as_long(matrix).reshape(-1, width), as_long(q_matrix).reshape(-1, width), lists)
-                    own = q_ids[:, None] == ids
-                    found = gather(parts, own, k) if phase == "gather" else resolve(parts, own, limits, ids, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[found[0]]), *map(pa.array, found[1:])], schema.replace(" long", "").split(", "))
-
-        return blocks.join(dealt, ["qb", "salt"]).select("ids", "matrix", "q_ids", "q_matrix", "cutoffs").mapInArrow(run, schema)
-
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"))
-    named = against(None, "gather", "query_id long, score long").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    cutoffs = named.groupBy(F.col("query_id").alias("id")).agg(F.min("score").alias("cutoff"), F.count("*").alias("n")).where(F.col("n") == k).select("id", "cutoff")
-    found = against(cutoffs, "resolve", "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            t = tile.value
+            query, ids, score = t.gather(blocks(batches)) if cutoffs is None else t.answer(blocks(batches), cutoffs.value)
+            yield pa.RecordBatch.from_arrays([pa.array(t.ids[query]), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
+
+        return rows.mapInArrow(run, schema)
+
+    def answers(number: int) -> DataFrame:
+        got = queries.where(tile_of == number).toArrow().combine_chunks()
+        vectors = got.column(1).combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.float64()))
+        tile = Tile(got.column(0).to_numpy().astype(np.int64), as_integers(vectors, width, scale), min(lists, width), k)
+        if not len(tile.ids):
+            return spark.createDataFrame([], schema + ", rank int")
+        sent = spark.sparkContext.broadcast(tile)
+        known = top(over_rows(sent, None)).groupBy("query_id").agg(F.min("score").alias("cutoff"), F.count("*").alias("n")).where(F.col("n") == k).toArrow()
+        cutoffs = np.full(len(tile.ids), NONE)
+        cutoffs[np.searchsorted(tile.ids, known.column(0).to_numpy())] = known.column(1).to_numpy()
+        return top(over_rows(sent, spark.sparkContext.broadcast(cutoffs)))
+
+    found = answers(0) if tiles == 1 else append(answers(t) for t in range(tiles))
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ member is blocked, else allow.
 Relative targets of links are resolved against the page's url (a <base> element is not read).
 
 Nulls: a null url, or one without "://", has empty host and path, no rule, and its own class; a null
-html gives no link. Repeated rows are judged alike, each with its row. Empty tables give no rows.
-Other columns are not read.
+html gives no link. Repeated rows are judged alike, each with its row. Of equally long rules allow goes before
+block, then the longer host, then the first by name. Of a very long html the first canonical link and the first
+refresh count, wherever they stand. Empty tables give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, table
+from .common import components, spread, table
 
 # The rules (verdict, host, path) of the registered query.
 RULES = [
@@ -28,7 +29,7 @@ RULES = [
     ("block", "com", "/de/"),
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MAX_RULES = 4096
+FEW, OWN = 256, "struct<rule:string,verdict:string>"  # rules that become one expression
 
 
 def host_of(url: Column) -> Column:
@@ -44,13 +45,34 @@ def path_of(url: Column) -> Column:
 
 
 def matched(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
-    """struct(rule, verdict) of the longest fitting rule (allow first among equally long ones); null without one."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules: they become one expression")
+    """struct(rule, verdict) of the longest fitting rule; null without one. Of equally long ones allow goes first, then the longer host, then the first by name."""
     ranked = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0] != "allow", -len(r[1]), r[1]))
     fits = [((host == h) | F.endswith(host, F.lit("." + h))) & F.startswith(path, F.lit(p)) for _, h, p in ranked]
     found = [F.when(f, F.struct(F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))) for f, (v, h, p) in zip(fits, ranked, strict=True)]
-    return F.coalesce(*found) if found else F.lit(None).cast("struct<rule:string,verdict:string>")
+    return F.coalesce(*found) if found else F.lit(None).cast(OWN)
+
+
+def with_own(urls: DataFrame, rules: list[tuple[str, str, str]] | DataFrame) -> DataFrame:
+    """urls (url, ...) with host, path and own: what matched() says.
+
+    Up to FEW rules are one expression over each row. More, or a table (verdict, host, path), are joined: a url's
+    host suffixes with the rules' hosts, which tell how long their paths are, then those prefixes with the rules.
+    """
+    urls = urls.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= FEW:
+            return urls.withColumn("own", matched(F.col("host"), F.col("path"), rules))
+        rules = urls.sparkSession.createDataFrame(rules, "verdict string, host string, path string")
+    rules = rules.select("verdict", F.col("host").alias("suffix"), F.col("path").alias("prefix")).where("suffix is not null and prefix is not null").distinct()
+    sizes = rules.groupBy("suffix").agg(F.collect_set(F.length("prefix")).alias("sizes"))
+    parts = urls.select("host", "path").distinct().withColumn("labels", F.split("host", r"\."))
+    n = F.size("labels")
+    suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice("labels", i, n), "."))
+    near = spread(parts.select("host", "path", F.explode(suffixes).alias("suffix")), sizes, "suffix")
+    near = near.select("host", "path", "suffix", F.explode(F.filter("sizes", lambda x: x <= F.length("path"))).alias("size")).withColumn("prefix", F.left("path", F.col("size")))
+    best = F.struct((-F.length("suffix") - F.length("prefix")).alias("size"), (F.col("verdict") != "allow").alias("last"), (-F.length("suffix")).alias("of_host"), F.col("suffix").alias("name"))
+    own = near.join(rules, ["suffix", "prefix"]).groupBy("host", "path").agg(F.min_by(F.struct(F.concat("suffix", "prefix").alias("rule"), "verdict"), best).cast(OWN).alias("own"))
+    return urls.join(own, ["host", "path"], "left")
 
 
 def resolved(target: Column, url: Column) -> Column:
@@ -79,24 +101,24 @@ def page_links(pages: DataFrame) -> DataFrame:
     canonical = F.regexp_extract(tag("link", r"rel\s*=\s*[\"']?canonical\b"), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     refresh = F.regexp_extract(tag("meta", r"http-equiv\s*=\s*[\"']?refresh\b"), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
     targets = some.select(F.col("url").alias("a"), F.explode(F.array(canonical, refresh)).alias("t")).where("t != ''")
-    return targets.select("a", resolved(F.col("t"), F.col("a")).alias("b")).where("b is not null")
+    plain = F.replace("t", F.lit("&amp;"), F.lit("&"))
+    return targets.select("a", resolved(plain, F.col("a")).alias("b")).where("b is not null")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFrame | None = None) -> DataFrame:
-    """pages (page_id, url, html) -> page_id, url, host, path, rule, verdict.
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, redirects: DataFrame | None = None) -> DataFrame:
+    """pages (page_id, url, html) -> page_id, url, host, path, rule, verdict. rules: (verdict, host, path), as a list or a table.
 
     redirects: further edges (a, b) between urls, as a crawl log has them; their ends may be urls that no page has.
     """
-    split = lambda df: df.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).withColumn("own", matched(F.col("host"), F.col("path"), rules))
     links = page_links(pages.select("url", "html"))
     if redirects is not None:
         links = links.union(redirects.select(redirects.columns[:2])).toDF("a", "b").where("a is not null and b is not null")
     classes = components(links)
-    judged = split(classes.withColumnRenamed("node", "url"))
+    judged = with_own(classes.withColumnRenamed("node", "url"), rules)
     verdicts = judged.groupBy("component").agg(F.max(F.col("own.verdict") == "allow").alias("allowed"), F.max(F.col("own.verdict") == "block").alias("blocked"))
     by_class = F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").otherwise("allow")
     aliases = judged.join(verdicts, "component").select("url", by_class.alias("inherited"))
-    out = split(pages.select("page_id", "url")).join(aliases, "url", "left")
+    out = with_own(pages.select("page_id", "url"), rules).join(aliases, "url", "left")
     return out.select("page_id", "url", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", "inherited", F.lit("allow")).alias("verdict"))
 
 

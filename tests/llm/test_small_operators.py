@@ -1,6 +1,7 @@
 """Url filter, chat format, top-k search, packing: against SQL, brute force, round trips, and odd rows."""
 
 import hashlib
+import itertools
 import zlib
 
 import numpy as np
@@ -55,6 +56,17 @@ def test_escape_round_trip():
         assert not any(c in escaped for c in chat.CONTROL)
 
 
+def test_every_short_text_is_read_back():
+    signs = ["\\", "<", "|", ">", "s", "/", "[INST]", "end"]
+    for n in range(5):
+        for parts in itertools.product(signs, repeat=n):
+            text = "".join(parts)
+            escaped = chat.escape(text)
+            assert not any(c in escaped for c in chat.CONTROL), text
+            piece = chat.TURN + escaped + chat.BODY + escaped + chat.END
+            assert chat.read_back(piece + piece) == [(text, text)] * 2
+
+
 def test_typed_parts(spark):
     blank = dict.fromkeys(["kind", "text", "ref", "width", "height", "seconds", "pages"])
     parts = [blank | {"kind": "text", "text": "see <|end|> "}, blank | {"kind": "image", "ref": "i.png", "width": 28, "height": 15}, blank | {"kind": "audio", "ref": "a.wav", "seconds": 2.0}, blank | {"kind": "document", "ref": "d.pdf", "pages": 3}, blank | {"text": "end"}]
@@ -86,7 +98,10 @@ def brute(rows, queries, k):
     return sorted(out)
 
 
-def test_topk_brute_force(spark):
+@pytest.mark.parametrize("tile,cells", [(16_384, 1 << 22), (3, 200)])
+def test_topk_brute_force(spark, monkeypatch, tile, cells):
+    monkeypatch.setattr(topk_search, "TILE", tile)
+    monkeypatch.setattr(topk_search, "CELLS", cells)
     rng = np.random.default_rng(5)
     rows = [(i, tuple(map(float, np.float32(rng.normal(size=8).round(1))))) for i in range(300)]
     rows += [(300 + i, rows[7][1]) for i in range(40)]  # ties
@@ -102,6 +117,20 @@ def test_topk_brute_force(spark):
     got = topk_search.search(with_odd, with_odd.where("id % 50 = 0 or id = 303 or id is null"), 5)
     assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == expected
     assert topk_search.search(df.limit(0), q.limit(0), 5).count() == 0
+    # Other columns and names, a query that comes twice, vectors of different lengths.
+    ragged = [(i, v[: 3 + i % 6]) for i, v in rows]
+    wide = spark.createDataFrame([(i, v, 1, "x") for i, v in ragged], "vec_id long, embedding array<float>, id int, score string")
+    some = wide.where("vec_id % 50 = 0")
+    pad = lambda v: (*v, *[0.0] * (8 - len(v)))
+    got = topk_search.search(wide, some.union(some), 5)
+    padded = [(i, pad(v)) for i, v in ragged]
+    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == brute(padded, [r for r in padded if r[0] % 50 == 0], 5)
+    below = spark.createDataFrame([(i, [-1.0 - i, 0.5]) for i in range(20)] + [(99, [1.0, 0.0])], "id long, vector array<double>")
+    got = topk_search.search(below, below.where("id = 99"), 3)
+    assert [tuple(r) for r in got.orderBy("rank").select("vec_id", "score").collect()] == [(0, -65536), (1, -131072), (2, -196608)]
+    huge = spark.createDataFrame([(i, [2.0**23] * 4) for i in range(8)], "id long, vector array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk_search.search(huge, huge, 5).collect()
     few = spark.createDataFrame(rows[:3], schema)
     assert topk_search.search(few, few.where("id = 0"), 5).count() == 2
 
@@ -125,8 +154,7 @@ def test_packing(spark):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = tokenizers.Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    texts = ["", None, "hello world", "é" * 700, "word " * 5000, "<|endoftext|> \n\n  x", "hello world", " " * 3000]
+    texts = ["", None, "hello world", "é" * 700, "word " * 5000, "<|endoftext|> \n\n  x", "hello world", " " * 3000, "a" + " " * 60_000 + "b"]
     docs = spark.createDataFrame([(i, x, 1) for i, x in enumerate(texts)] + [(2, "hello world", 1), (None, "no id", 1)], "doc_id long, text string, start int")
     rows = packing.pack(docs, path, with_ids=True).collect()
     ids = {i: t.encode(x or "", add_special_tokens=False).ids + [0] for i, x in enumerate(texts)} | {None: t.encode("no id", add_special_tokens=False).ids + [0]}
@@ -155,9 +183,9 @@ def test_fast_tokenizer_gives_the_same_ids():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = tokenizers.Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    texts = [r[0] for r in duckdb.sql(f"select text from '{SF}/documents.parquet'").fetchall()] + ["<|endoftext|>", "　 \t\n漢字😀", "don't I'LL", "x" * 5000]
+    texts = [r[0] for r in duckdb.sql(f"select text from '{SF}/documents.parquet'").fetchall()] + ["<|endoftext|>", "a<|endoftext|>b", " " * 4095, "\n" * 100_000, "　 \t\n漢字😀", "don't I'LL", "x" * 5000]
     encode = packing.tokenizer(path)
+    assert encode("<|endoftext|>") == [50256]
     assert [encode(x) for x in texts] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
