@@ -44,40 +44,48 @@ def presence_blocks(texts: pa.Array, slots: np.ndarray, width: int, orders: rang
         yield held
 
 
-def distinct_buckets(texts: pa.Array, orders: range, bits: int) -> Iterator[np.ndarray]:
-    """The distinct n-gram buckets of each text, in order."""
+def distinct_grams(texts: pa.Array, orders: range, bits: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(rows, the distinct n-gram buckets of each, in no order) of a chunk of texts; a long text comes by itself."""
+    place, number = np.zeros(1 << bits, np.int32), np.arange(0, dtype=np.int32)
     row, parts = None, []
+
+    def once(buckets: np.ndarray) -> np.ndarray:
+        """Of equal buckets the last; it alone finds its own number in its place."""
+        nonlocal number
+        if len(number) < len(buckets):
+            number = np.arange(2 * len(buckets), dtype=np.int32)
+        mine = number[: len(buckets)]
+        place[buckets] = mine
+        return buckets[place[buckets] == mine]
+
     for codes, offsets, rows in segments(texts, overlap=orders.stop - 2):
-        found = [np.where(inside, bucket, -1) for bucket, inside in grams(lower(codes), offsets, orders, bits)]
-        for k, r in enumerate(rows):
-            got = np.unique(np.concatenate([b[offsets[k] : offsets[k + 1]] for b in found]))
-            if row is not None and r != row:
-                yield np.unique(np.concatenate(parts))
-                parts = []
-            row = r
-            parts.append(got[got >= 0].astype(np.int32))
+        found = [bucket for bucket, _ in grams(lower(codes), offsets, orders, bits)]
+        within = lambda a, b: once(np.concatenate([x[a : max(a, b - n + 1)] for n, x in zip(orders, found, strict=True)]))
+        got = [within(a, b) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        if row is not None and (len(rows) > 1 or rows[0] != row):
+            yield np.array([row]), [once(np.concatenate(parts))]
+            row = None
+        if len(rows) > 1:
+            yield rows, got
+        else:
+            parts = [*parts, *got] if row is not None else got
+            row = rows[0]
     if row is not None:
-        yield np.unique(np.concatenate(parts))
-
+        yield np.array([row]), [once(np.concatenate(parts))]
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, max_chars: int, classes: int = 256) -> tuple[list[tuple[str, object]], dict]:
-    """A bounded sample to learn from: about per_class texts of each class, each of at most max_chars.
 
-    docs (doc_id, text), labels (doc_id, label), one row for each doc_id. The ids are picked by a fixed hash, so the sample is
-    the same in every run. Returns sorted (text, label) and the rows of each class.
-    """
-    labels = labels.where("doc_id is not null and label is not null")
-    counts = dict(labels.groupBy("label").count().orderBy(F.desc("count"), "label").limit(classes).collect())
-    if not counts:
-        return [], {}
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_class / n))])
-    picked = labels.where(take_share_of(F.col("doc_id"), share[F.col("label")])).limit(2 * per_class * len(counts))
-    texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).join(F.broadcast(picked), "doc_id").select("text", "label").limit(2 * per_class * len(counts))
-    got = texts.toArrow()
-    return sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)), counts
+def class_counts(labels: DataFrame, classes: int) -> dict:
+    """How many rows the `classes` most frequent values of a column label have."""
+    return dict(labels.where("label is not null").groupBy("label").count().orderBy(F.desc("count"), "label").limit(classes).collect())
 
 
-def take_share_of(key: Column, share: Column) -> Column:
-    return F.pmod(F.xxhash64(key.cast("string"), F.lit(17)), F.lit(1_000_003)) < share * 1_000_003
+def in_sample(counts: dict, per_class: int) -> Column:
+    """Whether a row (doc_id, label) is among about per_class of its class, by a fixed hash of the id: the same ones in every run."""
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_class / n))])
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), F.lit(1_000_003)) < share[F.col("label")] * 1_000_003
 
 
+def collected(rows: DataFrame, most: int, max_chars: int) -> list[tuple[str, object]]:
+    """Sorted (text, label) of at most `most` rows (text, label) whose texts have at most max_chars."""
+    got = rows.where(F.length("text") <= max_chars).select("text", "label").limit(most).toArrow()
+    return sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))

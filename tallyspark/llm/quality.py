@@ -9,24 +9,27 @@ fixed bins over all its rows. Only sums of fixed size come to the driver.
 Nulls: a null text counts as empty; labels that are null, or of null ids, are not used, and a document
 with several labels counts as good only if all say so; a null id is returned as null and never held
 out. Where there are no labels, or only one class, the score is that of the calibration: the class's
-share (1 without labels). Texts longer than 300,000 code points are read in pieces, within which
-repeated words and lines are counted. Repeated rows are scored each for itself. Empty tables give no
-rows. Other columns are not read.
+share (1 without labels). Ties get one score. A very long text gives the same statistics as a short one; it is
+held whole, its words and lines are hashed part by part. Repeated rows are scored each for itself. Empty
+tables give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import MIX, STEP, cut, held_out, mix, segments, ship, sums, table
 
 FEATURES, RIDGE, BINS, TASKS, THRESHOLD = 256, 1e-3, 512, 32, 0.3
+LONG = 300_000  # code points of the texts that are read at once
 KINDS = 8  # of code points, see _kinds
 N_SUMS = 2 * KINDS + 12
 
@@ -68,16 +71,40 @@ def hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 def repeats(row: np.ndarray, hashed: np.ndarray, n: int) -> np.ndarray:
     """How many different hashes each row has."""
-    keys = np.unique(hashed ^ mix(row.astype(np.uint64) + MIX))
-    order = np.argsort(hashed ^ mix(row.astype(np.uint64) + MIX), kind="stable")
-    first = np.searchsorted((hashed ^ mix(row.astype(np.uint64) + MIX))[order], keys)
-    return np.bincount(row[order][first], minlength=n)
+    _, first = np.unique(hashed ^ mix(row.astype(np.uint64) + MIX), return_index=True)
+    return np.bincount(row[first], minlength=n)
+
+
+def hashes_of_long(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """hashes() of the spans of a very long text, for as many spans at a time as LONG code points hold; a longer span goes part by part."""
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        low = int(starts[i])
+        if ends[i] - low > LONG:
+            total = np.zeros(1, np.uint64)
+            with np.errstate(over="ignore"):
+                for at in range(low, int(ends[i]), LONG):
+                    part = codes[at : min(at + LONG, int(ends[i]))]
+                    power = np.cumprod(np.full(len(part), STEP, np.uint64)) * np.uint64(pow(int(STEP), at - low, 1 << 64))
+                    total += (mix(part.astype(np.uint64) + MIX) * power).sum(dtype=np.uint64)
+                out[i] = mix(total + np.uint64(ends[i] - low))[0]
+            i += 1
+            continue
+        j = max(i + 1, int(np.searchsorted(ends, low + LONG, "right")))
+        out[i:j] = hashes(codes[low : int(ends[j - 1])], starts[i:j] - low, ends[i:j] - low)
+        i = j
+    return out
 
 
 def counted(texts: pa.Array) -> np.ndarray:
-    """Sums for each text, which add up over the pieces of a long one."""
+    """Sums for each text."""
     out = np.zeros((len(texts), N_SUMS))
-    for codes, offsets, rows in segments(texts):
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    long = pc.utf8_length(texts).to_numpy() > LONG
+    chunks = segments(pc.if_else(pa.array(long), "", texts), LONG)
+    whole = ((np.frombuffer(texts[int(i)].as_py().encode("utf-32-le"), "<u4"), int(i)) for i in np.flatnonzero(long))
+    for codes, offsets, rows in itertools.chain(chunks, ((c, np.array([0, len(c)]), np.array([i])) for c, i in whole)):
+        hashed = hashes_of_long if len(codes) > LONG else hashes
         kind = np.where(codes < 65536, KIND[np.minimum(codes, 65535)], 0)
         n = len(rows)
         got = [sums(kind == k, offsets) for k in range(KINDS)]
@@ -89,11 +116,12 @@ def counted(texts: pa.Array) -> np.ndarray:
         signs, upper, letters = (x[ends] - x[starts] for x in of_kind)
         size = ends - starts
         by_row = lambda x: np.bincount(row, x, n)
-        got += [by_row(np.ones(len(row))), by_row(size * size), by_row(signs > 0), by_row((upper > 1) & (upper == letters)), by_row(letters == 0), by_row(size == 1), by_row(size > 15), repeats(row, hashes(codes, starts, ends), n)]
+        got += [by_row(np.ones(len(row))), by_row(size * size), by_row(signs > 0), by_row((upper > 1) & (upper == letters)), by_row(letters == 0), by_row(size == 1), by_row(size > 15), repeats(row, hashed(codes, starts, ends), n)]
         l_starts, l_ends = spans(kind != 5, offsets)
         l_row = np.repeat(np.arange(n), np.diff(np.searchsorted(l_starts, offsets)))
-        got += [np.bincount(l_row, minlength=n), repeats(l_row, hashes(codes, l_starts, l_ends), n), np.bincount(l_row, (l_ends - l_starts) < 30, n), sums((codes == 124) | (codes == 9), offsets)]
+        got += [np.bincount(l_row, minlength=n), repeats(l_row, hashed(codes, l_starts, l_ends), n), np.bincount(l_row, (l_ends - l_starts) < 30, n), sums((codes == 124) | (codes == 9), offsets)]
         same = np.concatenate([[False], codes[1:] == codes[:-1]]) if len(codes) else np.zeros(0, bool)
+        same[offsets[:-1][offsets[:-1] < len(codes)]] = False  # a text's first sign follows none
         got += [sums(same & (kind == k), offsets) for k in range(KINDS)]
         out[rows] += np.column_stack(got)
     return out
@@ -158,18 +186,23 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
 
 def _summed(rows: DataFrame, columns: list[str], make) -> np.ndarray | None:
-    """make(batch) summed over all rows of a frame, by task and then on the driver; an array of fixed size for each of TASKS tasks."""
+    """make(batch) summed over all rows of a frame: in each task, then by TASKS tasks over those sums, then on the driver."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sum_up(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
         total = None
-        for batch in batches:
-            if len(batch):
-                part = make(batch)
-                total = part if total is None else total + part
+        for part in parts:
+            total = part.astype(np.float64) if total is None else total + part
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float64).tobytes()], pa.binary())], ["sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return sum_up(make(b) for b in batches if len(b))
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return sum_up(np.frombuffer(x) for b in batches for x in b.column(0).to_pylist())
 
-    got = [np.frombuffer(r[0]) for r in rows.select(*columns).coalesce(TASKS).mapInArrow(run, "sums binary").collect()]
+    by_task = rows.select(*columns).mapInArrow(first, "sums binary").withColumn("to", F.pmod(F.spark_partition_id(), F.lit(TASKS)))
+    got = [np.frombuffer(r[0]) for r in by_task.repartition(TASKS, "to").select("sums").mapInArrow(second, "sums binary").collect()]
     return np.sum(got, axis=0) if got else None
 
 

@@ -2,11 +2,13 @@
 
 Features are the presence of lower-cased character n-grams (n from 3 to 6, hashed). Each is scaled by its
 log-count ratio, log((p + a) / |p|) - log((q + a) / |q|) with p and q the numbers of toxic and other
-texts that hold it; of the n-grams with the largest likelihood ratio statistic at most `width` are kept, and a
-ridge-penalised logistic regression over the scaled features gives the score.
+texts that hold it; of the n-grams that `least` texts hold, at most the `width` with the largest likelihood ratio
+statistic are kept (both are parameters of the model), and a ridge-penalised logistic regression over the scaled
+features gives the score. Different n-grams may share one of the 22 hash bits' buckets and then count as one.
 
 Learnt from a bounded, fixed sample of labelled rows (`per_class` texts of each class, of at most
 `max_chars`), weighted back to the classes' shares of all labelled rows; every text is scored as a whole.
+Ties get one score.
 Nulls: a null text counts as empty; labels that are null, or of null ids, are not used, and a document
 with several labels counts as toxic if any says so; a null id is returned as null and never held out.
 Where one class is missing, all texts get that class's score (0 without labels). Repeated rows are
@@ -24,9 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, ship, sigmoid, table
-from .ngrams import distinct_buckets, labelled_sample, presence_blocks
+from .ngrams import class_counts, collected, distinct_grams, in_sample, presence_blocks
 
-ORDERS, BITS, WIDTH, PER_CLASS, MAX_CHARS, ALPHA, RIDGE, STEPS = range(3, 7), 22, 4096, 3000, 50_000, 1.0, 1e-4, 400
+ORDERS, BITS, WIDTH, LEAST, PER_CLASS, MAX_CHARS, ALPHA, RIDGE, STEPS = range(3, 7), 22, 4096, 5, 3000, 16_000, 1.0, 1e-4, 30
 THRESHOLD = 0.7
 
 
@@ -45,49 +47,61 @@ class Model:
 
 
 def logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, shape: tuple[int, int], target: np.ndarray, weight: np.ndarray, ridge: float, steps: int) -> tuple[np.ndarray, float]:
-    """Weights and constant of a weighted, penalised logistic regression, by accelerated gradient steps with restarts."""
+    """Weights and constant of a weighted, penalised logistic regression, by Newton steps that conjugate gradients solve."""
     n, d = shape
     weight = weight / weight.sum()
-    times = lambda w: np.bincount(rows, values * w[columns], n)
-    back = lambda g: np.bincount(columns, values * g[rows], d)
-    v = np.ones(d)
-    for _ in range(20):
-        v = back(weight * times(v))
-        norm = np.linalg.norm(v) or 1.0
-        v /= norm
-    rate = 1 / (0.25 * (norm + 1) * 1.1 + ridge)
-    w, b, yw, yb, t = np.zeros(d), 0.0, np.zeros(d), 0.0, 1.0
+    times = lambda w: np.bincount(rows, values * w[columns], n) + w[d]
+    back = lambda g: np.append(np.bincount(columns, values * g[rows], d), g.sum())
+    penalty = np.append(np.full(d, ridge), 1e-9)
+
+    def loss(w: np.ndarray, margin: np.ndarray) -> float:
+        return float(weight @ (np.logaddexp(0, margin) - target * margin) + (penalty * w * w).sum() / 2)
+
+    w, margin = np.zeros(d + 1), np.zeros(n)
     for _ in range(steps):
-        g = weight * (sigmoid(times(yw) + yb) - target)
-        gw, gb = back(g) + ridge * yw, g.sum()
-        nw, nb = yw - rate * gw, yb - rate * gb
-        if gw @ (nw - w) + gb * (nb - b) > 0:
-            t = 1.0
-        s = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        yw, yb = nw + (t - 1) / s * (nw - w), nb + (t - 1) / s * (nb - b)
-        w, b, t = nw, nb, s
-    return w, b
-
-
-def fit(sample: list[tuple[str, int]], counts: dict, width: int = WIDTH) -> Model:
+        p = sigmoid(margin)
+        g = back(weight * (p - target)) + penalty * w
+        size = np.linalg.norm(g)
+        if size < 1e-7:
+            break
+        curve = weight * p * (1 - p)
+        x, r = np.zeros(d + 1), -g
+        q, rr = r.copy(), r @ r
+        for _ in range(200):
+            h = back(curve * times(q)) + penalty * q
+            a = rr / max(q @ h, 1e-300)
+            x, r = x + a * q, r - a * h
+            rr, before = r @ r, rr
+            if rr < (0.01 * size) ** 2:
+                break
+            q = r + rr / before * q
+        now, step, along = loss(w, margin), 1.0, times(x)
+        while step > 1e-6 and loss(w + step * x, margin + step * along) > now + 1e-4 * step * (g @ x):
+            step /= 2
+        w, margin = w + step * x, margin + step * along
+    return w[:d], float(w[d])
+
+
+def fit(sample: list[tuple[str, int]], counts: dict, width: int = WIDTH, least: int = LEAST) -> Model:
     """From (text, label) pairs; counts: how many labelled rows each label has."""
     target = np.array([float(bool(y)) for _, y in sample])
     if not len(target) or target.min() == target.max():
         return Model(np.full(1 << BITS, -1, np.int16), np.zeros(0, np.float32), -20.0 if not target.sum() else 20.0)
     texts = pa.array([t for t, _ in sample])
     held = np.zeros((2, 1 << BITS), np.int32)
-    for y, buckets in zip(target.astype(int), distinct_buckets(texts, ORDERS, BITS), strict=True):
-        held[y, buckets] += 1
+    for rows, got in distinct_grams(texts, ORDERS, BITS):
+        for y, buckets in zip(target[rows].astype(int), got, strict=True):
+            held[y, buckets] += 1
     total = np.bincount(target.astype(int), minlength=2)
     q, p = held.astype(np.float64)
-    seen = np.flatnonzero(p + q >= 5)
+    seen = np.flatnonzero(p + q >= least)
     p, q = p[seen], q[seen]
     ratio = np.log((p + ALPHA) / (p + ALPHA).sum()) - np.log((q + ALPHA) / (q + ALPHA).sum())
     part = lambda a, n: np.where(a > 0, a * np.log(np.maximum(a, 1e-9) / n), 0)
     share = total / total.sum()
     gain = part(p, (p + q) * share[1]) + part(q, (p + q) * share[0]) + part(total[1] - p, (total.sum() - p - q) * share[1] + 1e-9) + part(total[0] - q, (total.sum() - p - q) * share[0] + 1e-9)
     # What is kept must stand out of as many n-grams as were tried; a small sample keeps few.
-    ranked = np.lexsort((seen, -gain))[:width]
+    ranked = np.lexsort((seen, -np.round(gain, 9)))[:width]
     best = np.sort(ranked[: max(64, int((gain[ranked] >= np.log(max(2, len(seen)))).sum()))])
     slots = np.full(1 << BITS, -1, np.int16)
     slots[seen[best]] = np.arange(len(best))
@@ -116,7 +130,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
     """From docs (doc_id, text) and labels (doc_id, label)."""
     one = labels.toDF("doc_id", "label").where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    return fit(*labelled_sample(docs.select("doc_id", "text"), one, per_class, max_chars))
+    counts = class_counts(one.select("label"), 2)
+    if not counts:
+        return fit([], {})
+    most = 2 * per_class * len(counts)
+    picked = F.broadcast(one.where(in_sample(counts, per_class)).limit(most))
+    return fit(collected(docs.select("doc_id", "text").join(picked, "doc_id"), most, max_chars), counts)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,9 +67,11 @@ def test_long_texts_in_pieces():
 
     text = "abc def " * 300_000
     assert "".join("".join(map(chr, codes[: 1_000_000 - 3 if i < 2 else None])) for i, (codes, _, _) in enumerate(segments(pa.array([text]), limit=1_000_000, overlap=3))) == text
-    whole = [set(b) for b in ngrams.distinct_buckets(pa.array(["abc def " * 40]), range(2, 5), 22)]
-    long = [set(b) for b in ngrams.distinct_buckets(pa.array([text, "x"]), range(2, 5), 22)]
-    assert long[0] == whole[0] and len(long) == 2
+    held = lambda texts: [set(b) for _, got in ngrams.distinct_grams(pa.array(texts), range(2, 5), 22) for b in got]
+    long = held(["y", text, text, "x", None])
+    assert long[1] == long[2] == held(["abc def " * 40])[0] and len(long) == 5 and long[0] == long[4] == set()
+    assert [r for rows, _ in ngrams.distinct_grams(pa.array(["y", text, text, "x"]), range(2, 5), 22) for r in rows] == [0, 1, 2, 3]
+    assert all(len(b) == len(set(b)) for _, got in ngrams.distinct_grams(pa.array(["banana", "nananana"]), range(2, 5), 22) for b in got)
 
 
 def test_isotonic():
