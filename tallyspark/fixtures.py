@@ -41,6 +41,8 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_order = lines(spark, sf_dir).groupBy("order_key").agg(F.min("vendor_id").alias("vendor_id"), F.sum("amount").cast("decimal(18,2)").alias("subtotal"), F.max("rate").alias("rate"), F.sort_array(F.collect_list(item)).alias("items"))
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_key"), F.to_date("o_orderdate").alias("issued"))
     k = F.col("order_key")
+    printed = (F.col("subtotal") + F.when(k % 47 == 0, F.lit("4.00")).otherwise("0.00").cast("decimal(3,2)")).cast("decimal(18,2)")
+    by_order = by_order.withColumn("subtotal", printed)
     tax = F.round(F.col("subtotal") * (F.col("rate") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(9,5)"), 2).cast("decimal(18,2)")
     printed_tax = (tax + F.when(k % 37 == 0, F.lit("2.00")).otherwise("0.00").cast("decimal(3,2)")).cast("decimal(18,2)")
     total = (F.col("subtotal") + tax + F.when(k % 41 == 0, F.lit("3.00")).otherwise("0.00").cast("decimal(3,2)")).cast("decimal(18,2)")
@@ -88,16 +90,16 @@ LINE_SQL = """line as (
   from lineitem join part on l_partkey = p_partkey),
 priced as (select *, cast(net + case when l_partkey % 17 = 0 then 1.00 else 0.00 end as decimal(18,2)) as amount from line)"""
 INV_SQL = f"""{VENDOR_SQL}, {LINE_SQL},
-by_order as (select order_key, min(vendor_id) as vendor_id, cast(sum(amount) as decimal(18,2)) as subtotal, max(rate) as rate, count(*) as n_lines,
+by_order as (select order_key, min(vendor_id) as vendor_id, cast(sum(amount) as decimal(18,2)) as lines_total, cast(sum(amount) + case when order_key % 47 = 0 then 4.00 else 0.00 end as decimal(18,2)) as subtotal, max(rate) as rate, count(*) as n_lines,
   count(*) filter (l_partkey % 17 = 0) as bad_lines from priced group by order_key),
-taxed as (select o_orderkey as order_key, cast(o_orderdate as date) as issue_date, b.vendor_id, subtotal, rate as tax_rate, coalesce(n_lines, 0) as n_lines, coalesce(bad_lines, 0) as bad_lines,
+taxed as (select o_orderkey as order_key, cast(o_orderdate as date) as issue_date, b.vendor_id, subtotal, lines_total, rate as tax_rate, coalesce(n_lines, 0) as n_lines, coalesce(bad_lines, 0) as bad_lines,
   cast(round(subtotal * cast(rate * cast(0.01 as decimal(3,2)) as decimal(9,5)), 2) as decimal(18,2)) as tax from orders left join by_order b on o_orderkey = order_key),
 inv as (select order_key, cast(order_key as bigint) as seq, 'inv-' || lpad(cast(order_key as varchar), 10, '0') || '.pdf' as name, sha256(cast(order_key as varchar)) as sha256,
   case when order_key % 3 = 0 then 'ocr' else 'text' end as method, round(0.7 + (order_key % 30) / 100, 2) as confidence,
   case when order_key % 29 <> 0 then v.vendor_name end as vendor_name, v.tax_id as vendor_tax_id, case when order_key % 31 <> 0 then 'INV-' || cast(order_key as varchar) end as invoice_number,
   issue_date, cast(issue_date + (case when order_key % 23 = 0 then -1 else 30 end) as date) as due_date, case when order_key % 43 <> 0 then v.currency end as currency, subtotal, tax_rate,
   cast(tax + case when order_key % 37 = 0 then 2.00 else 0.00 end as decimal(18,2)) as tax_amount,
-  cast(subtotal + tax + case when order_key % 41 = 0 then 3.00 else 0.00 end as decimal(18,2)) as total, n_lines, bad_lines, t.vendor_id
+  cast(subtotal + tax + case when order_key % 41 = 0 then 3.00 else 0.00 end as decimal(18,2)) as total, n_lines, bad_lines, lines_total, tax, t.vendor_id
   from taxed t left join vendor v on t.vendor_id = v.vendor_id)"""
 ARRIVAL_SQL = f"""{INV_SQL}, arrival as (select * from inv
   union all select * replace (seq + 1000000000 as seq, sha256(sha256 || 'again') as sha256) from inv where order_key % 13 = 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyspark.functions.text import let
 from tallyspark.schemas import TAX_FORMATS
 
 
@@ -48,16 +49,19 @@ def ch_ok(digits: Column) -> Column:
 
 def check(tax_id: Column) -> Column:
     """struct(valid, how); how: checksum, format, US EIN format, unknown-country."""
-    t = normalize(tax_id)
-    country, body = F.substring(t, 1, 2), F.substring(t, F.lit(3), F.greatest(F.length(t) - 2, F.lit(0)))
     result = lambda valid, how: F.struct(F.coalesce(valid, F.lit(False)).alias("valid"), F.lit(how).alias("how"))
-    out = F.when(t.rlike(r"^\d{2}-\d+$"), result(t.rlike(r"^\d{2}-\d{7}$"), "US EIN format"))
-    out = out.when(country == "CH", result(t.rlike(r"^CHE\d{9}$") & ch_ok(F.substring(t, 4, 9)), "checksum"))
-    for name, size, ok in (("DE", 9, de_ok), ("FR", 11, fr_ok), ("GB", 9, gb_ok)):
-        out = out.when(country == name, result(body.rlike(rf"^\d{{{size}}}$") & ok(body), "checksum"))
-    for name, pattern in TAX_FORMATS.items():
-        out = out.when(country == name, result(body.rlike(f"^{pattern}$"), "format"))
-    return F.when(tax_id.isNotNull(), out.otherwise(result(t.rlike(r"^[A-Z]{2}[0-9A-Z]{8,12}$"), "unknown-country")))
+
+    def judged(t: Column) -> Column:
+        country, body = F.substring(t, 1, 2), F.substring(t, F.lit(3), F.greatest(F.length(t) - 2, F.lit(0)))
+        out = F.when(t.rlike(r"^\d{2}-\d+$"), result(t.rlike(r"^\d{2}-\d{7}$"), "US EIN format"))
+        out = out.when(country == "CH", result(t.rlike(r"^CHE\d{9}$") & ch_ok(F.substring(t, 4, 9)), "checksum"))
+        for name, size, ok in (("DE", 9, de_ok), ("FR", 11, fr_ok), ("GB", 9, gb_ok)):
+            out = out.when(country == name, result(body.rlike(rf"^\d{{{size}}}$") & ok(body), "checksum"))
+        for name, pattern in TAX_FORMATS.items():
+            out = out.when(country == name, result(body.rlike(f"^{pattern}$"), "format"))
+        return out.otherwise(result(t.rlike(r"^[A-Z]{2}[0-9A-Z]{8,12}$"), "unknown-country"))
+
+    return F.when(tax_id.isNotNull(), let(normalize(tax_id), judged))
 
 
 def de_check_digit(digits: Column) -> Column:

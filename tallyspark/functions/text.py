@@ -7,6 +7,7 @@ be in ANSI mode). Digits and spaces are matched in their Unicode sense.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,7 +25,11 @@ def _latin() -> tuple[str, str]:
 
 
 LATIN_FROM, LATIN_TO = _latin()
-MONTH_OF = {word: number for number, words in MONTHS.items() for word in words}
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def fold(text: Column) -> Column:
@@ -58,42 +63,55 @@ def find_currency(text: Column) -> Column:
 
 def parse_amount(text: Column) -> Column:
     """decimal(18,2): a final separator with exactly two digits is the decimal one, all others group thousands."""
-    kept = F.trim(F.regexp_replace(F.regexp_replace(text, r"(?U)[^\d.,'\-\s]", ""), r"(?U)\s+", " "))
-    digits = F.regexp_replace(kept, r"\D", "")
-    cents = F.regexp_like(kept, F.lit(r"[.,]\d\d$"))
-    whole = F.when(cents, F.substring(digits, F.lit(1), F.length(digits) - 2)).otherwise(digits)
-    value = F.concat(F.when(F.startswith(kept, F.lit("-")), "-").otherwise(""), F.when(whole == "", "0").otherwise(whole), F.when(cents, F.concat(F.lit("."), F.right(digits, F.lit(2)))).otherwise(""))
-    return F.when(digits != "", value.try_cast("decimal(18,2)"))
+
+    def value(kept: Column, digits: Column) -> Column:
+        cents = kept.rlike(r"[.,]\d\d$")
+        sign = F.when(F.startswith(kept, F.lit("-")), -1).otherwise(1)
+        scaled = (digits.try_cast("decimal(20,0)") * sign).cast("decimal(20,0)")
+        return F.when(cents, scaled * F.lit("0.01").cast("decimal(3,2)")).otherwise(scaled.cast("decimal(22,2)")).try_cast("decimal(18,2)")
+
+    kept = F.trim(F.regexp_replace(text, r"(?U)[^\d.,'\-\s]+", ""))
+    return let(kept, lambda k: let(F.regexp_replace(k, r"\D+", ""), lambda d: F.when(d != "", value(k, d))))
 
 
 def parse_number(text: Column, separator: Column) -> Column:
     """decimal(12,3): the document's separator decides; a point before three digits groups thousands where the separator is a comma."""
-    raw = first(F.replace(text, F.lit(" "), F.lit("")), r"(?U)-?\d+(?:[.,]\d+)?")
-    grouped = (separator == ",") & F.regexp_like(raw, F.lit(r"\.\d{3}$")) & ~F.contains(raw, F.lit(","))
-    return F.when(grouped, F.replace(raw, F.lit("."), F.lit(""))).otherwise(F.translate(raw, ",", ".")).try_cast("decimal(12,3)")
 
+    def value(raw: Column) -> Column:
+        grouped = (separator == ",") & raw.rlike(r"\.\d{3}$") & ~F.contains(raw, F.lit(","))
+        return F.when(grouped, F.replace(raw, F.lit("."), F.lit(""))).otherwise(F.translate(raw, ",", ".")).try_cast("decimal(12,3)")
 
+    found = F.regexp_extract(F.replace(text, F.lit(" "), F.lit("")), r"(?U)-?\d+(?:[.,]\d+)?", 0)
+    return let(found, lambda raw: F.when(raw != "", value(raw)))
+
+
+# Patterns of dates, percents and numeric cells.
 NUMERIC_DATE = r"(?U)(\d{1,4})[./\-](\d{1,2})[./\-](\d{2,4})"
 WORDY_DATE = r"(?U)(\d{1,2})\.?\s*([A-Za-zÀ-ÿ]{3,10})\.?,?\s*(\d{4})"
+PERCENT = r"(?U)(\d{1,2}(?:[.,]\d{1,3})?)\s*%"
+NUMERIC_CELL = r"(?U)^[-+]?[\d\s.,']*\d[\d\s.,']*$"
+RATE_CELL = r"(?U)^[-+]?\d{1,2}(?:[.,]\d{1,3})?\s*%$"
 WORDY_DATE_US = r"(?U)([A-Za-z]{3,10})\.?\s+(\d{1,2}),?\s+(\d{4})"
 
 
-def _numeric(text: Column) -> tuple[Column, Column, Column, Column]:
-    compact = F.replace(text, F.lit(" "), F.lit(""))
-    a, b, c = (F.regexp_extract(compact, NUMERIC_DATE, i) for i in (1, 2, 3))
-    return compact.rlike(NUMERIC_DATE), a, b, c
-
-
 def _year(c: Column) -> Column:
     return c.try_cast("int") + F.when(F.length(c) == 2, 2000).otherwise(0)
 
 
+def _parts(text: Column, pattern: str) -> Column:
+    """The three groups of the first match; empty strings without one."""
+    return F.array(*[F.regexp_extract(text, pattern, i) for i in (1, 2, 3)])
+
+
 def date_parts(text: Column) -> Column:
     """struct(a, b, year) of a numeric date as printed; an ISO date as day, month, year."""
-    found, a, b, c = _numeric(text)
-    iso = F.length(a) == 4
-    pick = lambda x, y: F.when(iso, x).otherwise(y)
-    return F.when(found, F.struct(pick(c, a).try_cast("int").alias("a"), b.try_cast("int").alias("b"), pick(a.try_cast("int"), _year(c)).alias("year")))
+
+    def parts(p: Column) -> Column:
+        iso = F.length(p[0]) == 4
+        pick = lambda x, y: F.when(iso, x).otherwise(y)
+        return F.when(p[0] != "", F.struct(pick(p[2], p[0]).try_cast("int").alias("a"), p[1].try_cast("int").alias("b"), pick(p[0].try_cast("int"), _year(p[2])).alias("year")))
+
+    return let(_parts(F.replace(text, F.lit(" "), F.lit("")), NUMERIC_DATE), parts)
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:
@@ -101,27 +119,28 @@ def _date(year: Column, month: Column, day: Column) -> Column:
 
 
 def _month(word: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in MONTH_OF.items() for x in pair])
-    folded = F.rtrim(fold(word), F.lit("."))
-    return F.coalesce(F.try_element_at(table, folded), F.try_element_at(table, F.left(folded, F.lit(3))))
+    table = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
+    return let(F.rtrim(fold(word), F.lit(".")), lambda w: F.coalesce(F.try_element_at(table, w), F.try_element_at(table, F.left(w, F.lit(3)))))
 
 
 def parse_date(text: Column, order: Column | str = "dmy") -> Column:
     """A numeric date in the given order (ISO dates as they are), else one with a month's word; impossible dates are null."""
-    order = F.lit(order) if isinstance(order, str) else order
-    found, a, b, c = _numeric(text)
-    x, y = a.try_cast("int"), b.try_cast("int")
-    us = order == "mdy"
-    numeric = F.when(F.length(a) == 4, _date(x, y, c.try_cast("int"))).otherwise(_date(_year(c), F.when(us, x).otherwise(y), F.when(us, y).otherwise(x)))
-    part = lambda pattern, i: F.regexp_extract(text, pattern, i)
-    wordy = lambda pattern, d, m: F.when(text.rlike(pattern), _date(part(pattern, 3).try_cast("int"), _month(part(pattern, m)), part(pattern, d).try_cast("int")))
-    # A readable month word decides, even where its date is impossible.
-    first_wordy = text.rlike(WORDY_DATE) & _month(part(WORDY_DATE, 2)).isNotNull()
-    return F.when(found, numeric).when(first_wordy, wordy(WORDY_DATE, 1, 2)).otherwise(wordy(WORDY_DATE_US, 2, 1))
+    us = (F.lit(order) if isinstance(order, str) else order) == "mdy"
+
+    def numeric(p: Column) -> Column:
+        x, y = p[0].try_cast("int"), p[1].try_cast("int")
+        return F.when(F.length(p[0]) == 4, _date(x, y, p[2].try_cast("int"))).otherwise(_date(_year(p[2]), F.when(us, x).otherwise(y), F.when(us, y).otherwise(x)))
+
+    def wordy(pattern: str, day: int, month: int) -> Column:
+        """struct(known month, date): a readable month word decides, even where its date is impossible."""
+        return let(_parts(text, pattern), lambda p: let(_month(p[month - 1]), lambda m: F.struct(m.alias("m"), _date(p[2].try_cast("int"), m, p[day - 1].try_cast("int")).alias("d"))))
+
+    by_word = let(wordy(WORDY_DATE, 1, 2), lambda w: F.when(w["m"].isNotNull(), w["d"]).otherwise(wordy(WORDY_DATE_US, 2, 1)["d"]))
+    return let(_parts(F.replace(text, F.lit(" "), F.lit("")), NUMERIC_DATE), lambda p: F.when(p[0] != "", numeric(p)).otherwise(by_word))
 
 
 def parse_percent(text: Column) -> Column:
-    return F.translate(first(text, r"(?U)(\d{1,2}(?:[.,]\d{1,3})?)\s*%", 1), ",", ".").try_cast("decimal(6,3)")
+    return F.translate(F.regexp_extract(text, PERCENT, 1), ",", ".").try_cast("decimal(6,3)")
 
 
 def money(value: Column) -> Column:
@@ -134,11 +153,11 @@ def strip_currency(text: Column) -> Column:
 
 
 def is_numeric(text: Column) -> Column:
-    return strip_currency(text).rlike(r"(?U)^[-+]?[\d\s.,']*\d[\d\s.,']*$")
+    return strip_currency(text).rlike(NUMERIC_CELL)
 
 
 def is_rate(text: Column) -> Column:
-    return F.trim(text).rlike(r"(?U)^[-+]?\d{1,2}(?:[.,]\d{1,3})?\s*%$")
+    return F.trim(text).rlike(RATE_CELL)
 
 
 def compact_ids(text: Column) -> Column:

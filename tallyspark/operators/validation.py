@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import taxid
-from tallyspark.schemas import ISSUE, REQUIRED, SUSPICIOUS
+from tallyspark.functions.text import let
+from tallyspark.schemas import ISSUE, LINE_ITEM, REQUIRED, SUSPICIOUS
 
 TOLERANCE = 0.01
 
@@ -51,19 +52,30 @@ def issues(inv: Column, as_of: dt.date, confidence: Column | None = None, min_co
     confidence = F.lit(None).cast("double") if confidence is None else confidence
     conflicts = F.lit(None).cast("array<string>") if conflicts is None else conflicts
     text = lambda c: c.cast("string")
-    items = F.coalesce(inv["line_items"], F.array().cast("array<struct<description:string,quantity:decimal(12,3),unit_price:decimal(18,2),amount:decimal(18,2),discount_percent:decimal(6,3)>>"))
-    tax = taxid.check(inv["vendor_tax_id"])
-    total = lines_sum(items)
-    expected_tax = share_of(inv["subtotal"], inv["tax_rate"])
+    items = F.coalesce(inv["line_items"], F.array().cast(f"array<{LINE_ITEM}>"))
     off = lambda a, b: F.abs(a - b) > TOLERANCE
-    bad_lines = F.filter(F.transform(items, lambda x, i: F.when(~line_ok(x), issue("LINE_AMOUNT_MISMATCH", F.concat(F.lit("line "), text(i + 1), F.lit(": "), text(x["quantity"]), F.lit(" x "), text(x["unit_price"]), F.lit(" = "), text(line_expected(x)), F.lit(", printed "), text(x["amount"]))))), lambda x: x.isNotNull())
+
+    def bad_line(x: Column, i: Column) -> Column:
+        said = lambda e: F.concat(F.lit("line "), text(i + 1), F.lit(": "), text(x["quantity"]), F.lit(" x "), text(x["unit_price"]), F.lit(" = "), text(e), F.lit(", printed "), text(x["amount"]))
+        return let(line_expected(x), lambda e: F.when(off(e, x["amount"]), issue("LINE_AMOUNT_MISMATCH", said(e))))
+
+    def lines_off(total: Column) -> Column:
+        return F.when((F.size(items) > 0) & off(total, inv["subtotal"]), issue("LINES_SUM_MISMATCH", F.concat(F.lit("lines add up to "), text(total), F.lit(", subtotal is "), text(inv["subtotal"]))))
+
+    def tax_off(expected: Column) -> Column:
+        return F.when(off(expected, inv["tax_amount"]), issue("TAX_MISMATCH", F.concat(text(inv["tax_rate"]), F.lit("% of "), text(inv["subtotal"]), F.lit(" is "), text(expected), F.lit(", printed "), text(inv["tax_amount"]))))
+
+    def bad_id(checked: Column) -> Column:
+        return F.when(~missing(inv["vendor_tax_id"]) & ~checked["valid"], issue("INVALID_TAX_ID", F.concat(inv["vendor_tax_id"], F.lit(" fails the "), checked["how"], F.lit(" check"))))
+
+    bad_lines = F.filter(F.transform(items, bad_line), lambda x: x.isNotNull())
     one = lambda condition, made: F.when(condition, made)
     before = [one(missing(inv[f]), issue(f"MISSING_{f.upper()}", f"{f} not found on the document")) for f in REQUIRED]
-    before.append(one(~missing(inv["vendor_tax_id"]) & ~tax["valid"], issue("INVALID_TAX_ID", F.concat(inv["vendor_tax_id"], F.lit(" fails the "), tax["how"], F.lit(" check")))))
+    before.append(let(taxid.check(inv["vendor_tax_id"]), bad_id))
     after = [
         one(F.size(items) == 0, issue("NO_LINE_ITEMS", "no line items could be read", "review")),
-        one((F.size(items) > 0) & off(total, inv["subtotal"]), issue("LINES_SUM_MISMATCH", F.concat(F.lit("lines add up to "), text(total), F.lit(", subtotal is "), text(inv["subtotal"])))),
-        one(off(expected_tax, inv["tax_amount"]), issue("TAX_MISMATCH", F.concat(text(inv["tax_rate"]), F.lit("% of "), text(inv["subtotal"]), F.lit(" is "), text(expected_tax), F.lit(", printed "), text(inv["tax_amount"])))),
+        let(lines_sum(items), lines_off),
+        let(share_of(inv["subtotal"], inv["tax_rate"]), tax_off),
         one(off(inv["subtotal"] + inv["tax_amount"], inv["total"]), issue("TOTAL_MISMATCH", F.concat(text(inv["subtotal"]), F.lit(" + "), text(inv["tax_amount"]), F.lit(" != printed total "), text(inv["total"])))),
         one(inv["due_date"] < inv["issue_date"], issue("DUE_BEFORE_ISSUE", F.concat(F.lit("due "), text(inv["due_date"]), F.lit(" is before issue "), text(inv["issue_date"])))),
         one(inv["issue_date"] > F.lit(as_of), issue("FUTURE_DATE", F.concat(F.lit("issue date "), text(inv["issue_date"]), F.lit(f" is after {as_of}")))),

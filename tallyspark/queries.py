@@ -44,10 +44,20 @@ def oracle_sql() -> dict[str, str]:
 _STYLES = "unnest(['en', 'de', 'fr', 'ch', 'whole'])"
 
 
-def _printed(value, style):
-    """An amount as different countries print it."""
-    us = F.format_number(value, 2)
-    return F.when(style == "en", F.concat(F.lit("£"), us)).when(style == "de", F.concat(F.translate(us, ",.", ".,"), F.lit(" €"))).when(style == "fr", F.concat(F.translate(us, ",.", " ,"), F.lit(" EUR"))).when(style == "ch", F.concat(F.lit("-"), F.translate(us, ",", "'"))).otherwise(F.regexp_replace(us, r"[.,]", ""))
+def _printed(value):
+    """An amount as different countries print it: array<struct<style, text>>."""
+
+    def styles(us):
+        shown = {
+            "en": F.concat(F.lit("£"), us),
+            "de": F.concat(F.translate(us, ",.", ".,"), F.lit(" €")),
+            "fr": F.concat(F.translate(us, ",.", " ,"), F.lit(" EUR")),
+            "ch": F.concat(F.lit("-"), F.translate(us, ",", "'")),
+            "whole": F.translate(us, ",.", ""),
+        }
+        return F.array(*[F.struct(F.lit(k).alias("style"), v.alias("text")) for k, v in shown.items()])
+
+    return text.let(F.format_number(value, 2), styles)
 
 
 @query(f"""
@@ -59,23 +69,21 @@ parsed as (select *, regexp_replace(k, '[^0-9]', '', 'g') as d, regexp_matches(k
 select style, count(*) as n, cast(sum(try_cast((case when k like '-%' then '-' else '' end) || (case when cents then left(d, length(d) - 2) || '.' || right(d, 2) else d end) as decimal(18,2))) as decimal(28,2)) as total
 from parsed group by style""")
 def parse_amount_formats(spark, d):
-    item = read(spark, d, "lineitem").select(F.col("l_extendedprice").cast("decimal(14,2)").alias("v"), F.explode(F.array(*map(F.lit, ("en", "de", "fr", "ch", "whole")))).alias("style"))
-    return item.groupBy("style").agg(F.count("*").alias("n"), F.sum(text.parse_amount(_printed(F.col("v"), F.col("style")))).cast("decimal(28,2)").alias("total"))
+    """Every price in five countries' styles, printed once and read back."""
+    prices = read(spark, d, "lineitem").select(F.explode(_printed(F.col("l_extendedprice").cast("decimal(14,2)"))).alias("p"))
+    return prices.groupBy("p.style").agg(F.count("*").alias("n"), F.sum(text.parse_amount(F.col("p.text"))).cast("decimal(28,2)").alias("total"))
 
 
 @query("""
-with raw as (select l_orderkey, s as sep, replace(cast(cast(l_quantity * 1000 + l_partkey % 1000 as decimal(12,3)) as varchar), '.', s) as t from lineitem, (select unnest(['.', ',']) as s))
-select sep, count(*) as n, cast(sum(try_cast(replace(t, ',', '.') as decimal(12,3))) as decimal(28,3)) as total,
-  cast(sum(case when sep = ',' then try_cast(replace(replace(t, ',', '.'), '.', '') as decimal(18,3)) else try_cast(replace(t, ',', '.') as decimal(12,3)) end) as decimal(28,3)) as grouped
-from raw group by sep""")
+with raw as (select s as printed_sep, r as read_sep, cast(l_quantity * 1000 + l_partkey % 1000 as decimal(12,3)) as v from lineitem, (select unnest(['.', ',']) as s), (select unnest(['.', ',']) as r))
+select printed_sep, read_sep, count(*) as n, cast(sum(case when printed_sep = '.' and read_sep = ',' then v * 1000 else v end) as decimal(28,3)) as total from raw group by 1, 2""")
 def parse_number_sep(spark, d):
-    """Numbers with three decimals, read by the separator they were printed with, and by the other one."""
+    """Numbers with three decimals, printed and read with either separator: a point before three digits groups where the separator is a comma."""
     value = (F.col("l_quantity") * 1000 + F.col("l_partkey") % 1000).cast("decimal(12,3)").cast("string")
-    raw = read(spark, d, "lineitem").select(F.explode(F.array(F.lit("."), F.lit(","))).alias("sep"), value.alias("v")).withColumn("t", F.replace("v", F.lit("."), F.col("sep")))
-    # Read with a comma as the separator, a number printed with a point before three digits is a thousand times as much.
-    swapped = F.replace("t", F.lit(","), F.lit("."))
-    grouped = F.when(F.col("sep") == ",", F.regexp_replace(swapped, r"\.", "").cast("decimal(18,3)")).otherwise(text.parse_number(F.col("t"), F.lit(".")))
-    return raw.groupBy("sep").agg(F.count("*").alias("n"), F.sum(text.parse_number(F.col("t"), F.col("sep"))).cast("decimal(28,3)").alias("total"), F.sum(grouped).cast("decimal(28,3)").alias("grouped"))
+    both = lambda: F.explode(F.array(F.lit("."), F.lit(",")))
+    raw = read(spark, d, "lineitem").select(value.alias("v"), both().alias("printed_sep")).select("*", both().alias("read_sep"))
+    got = text.parse_number(F.replace("v", F.lit("."), F.col("printed_sep")), F.col("read_sep"))
+    return raw.groupBy("printed_sep", "read_sep").agg(F.count("*").alias("n"), F.sum(got).cast("decimal(28,3)").alias("total"))
 
 
 @query("""
@@ -216,16 +224,28 @@ def _codes(*codes):
     return run
 
 
-_ISSUE_SQL = f"""{INV_SQL}, issue as (
-  {" union all ".join(f"select order_key, 'MISSING_{f.upper()}' as code from inv where {f} is null" for f in ("vendor_name", "vendor_tax_id", "invoice_number", "issue_date", "currency", "total"))}
-  union all select order_key, 'INVALID_TAX_ID' from inv where vendor_id % 11 = 0
-  union all select order_key, 'LINE_AMOUNT_MISMATCH' from priced where l_partkey % 17 = 0 and order_key in (select o_orderkey from orders)
-  union all select order_key, 'NO_LINE_ITEMS' from inv where n_lines = 0
-  union all select order_key, 'TAX_MISMATCH' from inv where order_key % 37 = 0 and tax_amount is not null
-  union all select order_key, 'TOTAL_MISMATCH' from inv where abs(subtotal + tax_amount - total) > 0.01
-  union all select order_key, 'DUE_BEFORE_ISSUE' from inv where due_date < issue_date
-  union all select order_key, 'FUTURE_DATE' from inv where issue_date > date '{fixtures.AS_OF}'
-  union all select order_key, 'LOW_CONFIDENCE' from inv where confidence < 0.8)"""
+_RULES = [f"MISSING_{f.upper()}" for f in REQUIRED] + ["INVALID_TAX_ID", "LINE_AMOUNT_MISMATCH", "NO_LINE_ITEMS", "LINES_SUM_MISMATCH", "TAX_MISMATCH", "TOTAL_MISMATCH", "DUE_BEFORE_ISSUE", "FUTURE_DATE", "LOW_CONFIDENCE"]
+
+
+def _issues_of(relation: str) -> str:
+    """(seq, order_key, code) of the invoices in a relation with the columns of inv, from their values alone."""
+    found = [(f"MISSING_{f.upper()}", f"{f} is null") for f in REQUIRED]
+    found += [
+        ("INVALID_TAX_ID", "vendor_id % 11 = 0"),
+        ("NO_LINE_ITEMS", "n_lines = 0"),
+        ("LINES_SUM_MISMATCH", "n_lines > 0 and abs(lines_total - subtotal) > 0.01"),
+        ("TAX_MISMATCH", "abs(tax - tax_amount) > 0.01"),
+        ("TOTAL_MISMATCH", "abs(subtotal + tax_amount - total) > 0.01"),
+        ("DUE_BEFORE_ISSUE", "due_date < issue_date"),
+        ("FUTURE_DATE", f"issue_date > date '{fixtures.AS_OF}'"),
+        ("LOW_CONFIDENCE", "confidence < 0.8"),
+    ]
+    each = [f"select seq, order_key, '{code}' as code from {relation} where {when}" for code, when in found]
+    each.append(f"select i.seq, i.order_key, 'LINE_AMOUNT_MISMATCH' from {relation} i join priced p using (order_key) where abs(p.net - p.amount) > 0.01")
+    return " union all ".join(each)
+
+
+_ISSUE_SQL = f"{INV_SQL}, issue as ({_issues_of('inv')})"
 
 
 def _issue_sql(*codes):
@@ -285,17 +305,22 @@ def first_per_key(spark, d):
     return keys.first_per_key(_arrivals(spark, d)).select("seq", "invoice_key", "first_seq", "first_total")
 
 
-@query(f"""with {_FIRST_SQL}, n as (select order_key, 1 as has from ({_ISSUE_SQL.replace(INV_SQL + ", issue as (", "", 1)[:-1]}) group by 1)
-select seq, case when k.invoice_key not like 'file:%' and seq <> first_seq and total is distinct from first_total then k.invoice_key || '#conflict-' || left(sha256, 8) else k.invoice_key end as invoice_key,
-  case when k.invoice_key not like 'file:%' and seq <> first_seq and total is not distinct from first_total then 'duplicate' when has is not null or (k.invoice_key not like 'file:%' and seq <> first_seq)
-  or (seq > 2000000000 and total is not null) then 'needs_review' else 'ok' end as status
-from keyed k join first_of f on k.invoice_key = f.invoice_key left join n using (order_key)""")
+_SETTLED_SQL = f"""{_FIRST_SQL}, arrived as ({_issues_of("arrival")}),
+later as (select k.*, f.first_seq, k.invoice_key not like 'file:%' and seq <> first_seq as again, total is not distinct from first_total as alike from keyed k join first_of f using (invoice_key)),
+told as (select seq, code from arrived union all select seq, 'DUPLICATE_INVOICE' from later where again and not alike),
+ranked as (select seq, string_agg(code, ', ' order by list_position({[*_RULES, "DUPLICATE_INVOICE"]}, code)) as codes from told group by seq),
+settled as (select later.* replace (case when again and not alike then invoice_key || '#conflict-' || left(sha256, 8) else invoice_key end as invoice_key),
+  coalesce(codes, '') as codes, case when again and alike then 'duplicate' when codes is not null then 'needs_review' else 'ok' end as status from later left join ranked using (seq))"""
+
+
+@query(f"with {_SETTLED_SQL} select seq, invoice_key, status, codes from settled")
 def duplicate_status(spark, d):
-    return keys.settle(_arrivals(spark, d)).select("seq", "invoice_key", "status")
+    """Later copies of a key: the same content is a duplicate, other content a conflict with an issue of its own."""
+    return keys.settle(_arrivals(spark, d)).select("seq", "invoice_key", "status", F.array_join("issues.code", ", ").alias("codes"))
 
 
 @query("""
-with stream as (select conv_id * 1000 + turn as seq, case when role = 'assistant' then 'text' else 'ocr' end as method, 'DE136695976' || case when conv_id % 10 = 0 then 'X' else '' end as tid, conv_id % 10 as shop, role || '-' || cast(conv_id % 3 as varchar) || '-' || cast(turn as varchar) as vendor_name from conversations where turn < 2),
+with stream as (select conv_id * 4294967296 + turn as seq, case when role = 'assistant' then 'text' else 'ocr' end as method, conv_id % 10 as shop, role || '-' || cast(conv_id % 3 as varchar) || '-' || cast(turn as varchar) as vendor_name from conversations),
 ids as (select *, case shop when 0 then null when 1 then 'DE136695976' else 'LU' || lpad(cast(shop as varchar), 8, '0') end as tax_id from stream),
 known as (select *, first_value(case when method = 'text' and tax_id is not null then vendor_name end ignore nulls) over (partition by tax_id order by seq rows between unbounded preceding and 1 preceding) as k from ids)
 select seq, case when tax_id is not null and method <> 'text' and k is not null then k else vendor_name end as vendor_name, case when tax_id is not null and method <> 'text' and k is not null and k is distinct from vendor_name then 1 else 0 end as n_notes from known""")
@@ -316,15 +341,19 @@ def learnt_vendors(spark, d):
 # --- sheets and the outbox ------------------------------------------------------------------------
 
 
-@query(f"""with {_KEY_SQL} select invoice_key as key, vendor_name, vendor_tax_id, invoice_number, cast(issue_date as varchar) as issue_date, currency, cast(total as double) as total, cast(n_lines as integer) as line_count, name as source_file, method
-from keyed where seq < 1000000000""")
+@query(f"""with {_SETTLED_SQL} select invoice_key as key, status, vendor_name, vendor_tax_id, invoice_number, cast(issue_date as varchar) as issue_date, cast(due_date as varchar) as due_date, currency,
+  cast(subtotal as double) as subtotal, cast(tax_rate as double) as tax_rate, cast(tax_amount as double) as tax_amount, cast(total as double) as total, cast(n_lines as integer) as line_count, codes as issues, '' as notes, name as source_file, method
+from settled where status <> 'duplicate'""")
 def sheet_rows_invoices(spark, d):
-    rows = keys.invoice_rows(keys.settle(_arrivals(spark, d)))
-    return rows.select("key", "vendor_name", "vendor_tax_id", "invoice_number", "issue_date", "currency", "total", "line_count", "source_file", "method")
+    """All 17 columns of the invoices sheet, for all arrivals."""
+    return keys.invoice_rows(keys.settle(_arrivals(spark, d)))
+
 
+_LINES_SHEET_SQL = """select invoice_key || '#' || cast(line_no as varchar) as key, invoice_key, cast(line_no as integer) as line, description, cast(p.quantity as double) as quantity, cast(unit_price as double) as unit_price, cast(amount as double) as amount, currency
+from settled join priced p using (order_key) where status <> 'duplicate'"""
 
-@query(f"""with {_KEY_SQL} select invoice_key || '#' || cast(line_no as varchar) as key, invoice_key, cast(line_no as integer) as line, description, cast(p.quantity as double) as quantity, cast(unit_price as double) as unit_price, cast(amount as double) as amount, currency
-from keyed join priced p using (order_key) where seq < 1000000000""")
+
+@query(f"with {_SETTLED_SQL} {_LINES_SHEET_SQL}")
 def sheet_rows_lines(spark, d):
     return keys.line_rows(keys.settle(_arrivals(spark, d)))
 
@@ -359,7 +388,7 @@ def prune(spark, d):
     return keys.prune(existing, read(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("key")))
 
 
-@query("select cast(floor((row_number() over (order by o_orderkey) - 1) / 100) as bigint) as batch, count(*) over () as n_rows, o_orderkey from orders where o_orderkey < 2000")
+@query("select cast(floor((row_number() over (order by o_orderkey) - 1) / 100) as bigint) as batch, count(*) over () as n_rows, o_orderkey from orders")
 def sync_batches(spark, d):
     """Slices of 100 in order of key: ranges by one global sort, numbered without gathering rows in one task."""
     from tallyspark.operators.batching import numbered
@@ -410,13 +439,29 @@ def _evaluated(spark, d):
     k = F.col("order_key")
     base = _judged(spark, d)
     inv = F.col("invoice")
-    got = inv.withField("total", F.when(k % 10 == 0, F.lit(None).cast("decimal(18,2)")).otherwise(inv["total"])).withField("vendor_name", F.upper(inv["vendor_name"])).withField("currency", F.when(k % 8 == 0, F.lit("JPY")).otherwise(inv["currency"]))
+    wrong = {
+        "total": F.when(k % 10 != 0, inv["total"]),
+        "vendor_name": F.concat(F.upper(inv["vendor_name"]), F.lit(" .")),
+        "currency": F.when(k % 8 == 0, F.lit("JPY")).otherwise(inv["currency"]),
+        "vendor_tax_id": F.when(k % 6 == 0, F.lit("DE1")).otherwise(F.concat(F.lit(" "), F.lower(inv["vendor_tax_id"]))),
+        "invoice_number": F.when(k % 9 == 0, F.lit("0")).otherwise(F.lower(inv["invoice_number"])),
+        "issue_date": F.when(k % 12 != 0, inv["issue_date"]),
+        "tax_rate": F.when(k % 14 == 0, inv["tax_rate"] + 1).otherwise(inv["tax_rate"]).cast("decimal(6,3)"),
+        "line_items": F.transform(inv["line_items"], lambda x: x.withField("amount", F.when(k % 15 == 0, x["amount"] + 1).otherwise(x["amount"]).cast("decimal(18,2)")).withField("description", F.concat(F.upper(x["description"]), F.when(k % 16 == 0, "x").otherwise("!")))),
+    }
+    got = inv
+    for field, value in wrong.items():
+        got = got.withField(field, value)
     defect = F.when(k % 37 == 0, "tax").when(k % 41 == 0, "total").when(k % 23 == 0, "due")
     expected = F.when(k % 37 == 0, F.array(F.lit("TAX_MISMATCH"))).when(k % 41 == 0, F.array(F.lit("TOTAL_MISMATCH"))).when(k % 23 == 0, F.array(F.lit("DUE_BEFORE_ISSUE"))).otherwise(F.array().cast("array<string>"))
     return base.select(F.col("name").alias("file"), (F.col("method") == "ocr").alias("scanned"), inv.alias("truth"), got.alias("got"), defect.alias("defect"), expected.alias("expected_issues"), F.col("issues.code").alias("codes"))
 
 
-@query(f"""with {INV_SQL}, c as (select method = 'ocr' as scanned, unnest([{{'field': 'total', 'ok': total is null or order_key % 10 <> 0}}, {{'field': 'vendor_name', 'ok': true}}, {{'field': 'currency', 'ok': order_key % 8 <> 0}}]) as e from inv)
+_WRONG = {"total": "total is null or order_key % 10 <> 0", "currency": "order_key % 8 <> 0", "vendor_tax_id": "order_key % 6 <> 0", "invoice_number": "order_key % 9 <> 0", "issue_date": "order_key % 12 <> 0", "tax_rate": "tax_rate is null or order_key % 14 <> 0", "lines": "n_lines = 0 or order_key % 15 <> 0", "descriptions": "n_lines = 0 or order_key % 16 <> 0"}
+_CHECKED = ", ".join(f"{{'field': '{f}', 'ok': {_WRONG.get(f, 'true')}}}" for f in [*reporting.COMPARED, "lines", "descriptions"])
+
+
+@query(f"""with {INV_SQL}, c as (select method = 'ocr' as scanned, unnest([{_CHECKED}]) as e from inv)
 select e.field as field, count(*) filter (scanned and e.ok) as scan_ok, count(*) filter (scanned) as scan_n, count(*) filter (not scanned and e.ok) as text_ok, count(*) filter (not scanned) as text_n from c group by 1""")
 def field_accuracy(spark, d):
     return reporting.field_accuracy(reporting.compare(_evaluated(spark, d)))

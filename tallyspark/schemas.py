@@ -31,43 +31,74 @@ CURRENCY_SYMBOLS = {"£": "GBP", "€": "EUR", "$": "USD", "¥": "JPY"}
 CURRENCY_CODES = ["EUR", "USD", "GBP", "CHF", "PLN", "SEK", "DKK", "NOK", "CZK", "HUF", "CAD", "AUD", "AZN", "TRY", "JPY"]
 EUROZONE = ["AT", "BE", "CY", "DE", "EE", "ES", "FI", "FR", "GR", "EL", "HR", "IE", "IT", "LT", "LU", "LV", "MT", "NL", "PT", "SI", "SK"]
 
-# Month words, folded, by number.
+# Month words, folded, and their numbers.
 MONTHS = {
-    1: ["jan", "januar", "janv", "gen", "gennaio", "ene", "enero"],
-    2: ["feb", "februar", "fevr", "febbraio"],
-    3: ["mar", "marz", "mars", "marzo", "mrt", "maart"],
-    4: ["apr", "avr", "aprile", "abr"],
-    5: ["may", "mai", "maggio", "mayo", "mei"],
-    6: ["jun", "juni", "juin", "giugno", "junio"],
-    7: ["jul", "juli", "juil", "luglio", "julio"],
-    8: ["aug", "aout", "ago", "agosto"],
-    9: ["sep", "sept", "set", "settembre", "septiembre"],
-    10: ["oct", "okt", "ott", "ottobre", "octubre"],
-    11: ["nov", "novembre", "noviembre"],
-    12: ["dec", "dez", "dic", "dicembre", "diciembre"],
-}
+    "jan": 1, "januar": 1, "janv": 1, "gen": 1, "gennaio": 1, "ene": 1, "enero": 1,
+    "feb": 2, "februar": 2, "fevr": 2, "febbraio": 2,
+    "mar": 3, "marz": 3, "mars": 3, "marzo": 3, "mrt": 3, "maart": 3,
+    "apr": 4, "avr": 4, "aprile": 4, "abr": 4,
+    "may": 5, "mai": 5, "maggio": 5, "mayo": 5, "mei": 5,
+    "jun": 6, "juni": 6, "juin": 6, "giugno": 6, "junio": 6,
+    "jul": 7, "juli": 7, "juil": 7, "luglio": 7, "julio": 7,
+    "aug": 8, "aout": 8, "ago": 8, "agosto": 8,
+    "sep": 9, "sept": 9, "set": 9, "settembre": 9, "septiembre": 9,
+    "oct": 10, "okt": 10, "ott": 10, "ottobre": 10, "octubre": 10,
+    "nov": 11, "novembre": 11, "noviembre": 11,
+    "dec": 12, "dez": 12, "dic": 12, "dicembre": 12, "diciembre": 12,
+}
 
 # Labels of fields in six languages, folded.
 LABELS = {
-    "invoice_number": "invoiceno invoicenumber invoice# invoiceid inv# invno rechnungsnummer rechnungsnr rechnung-nr rechnungnr facturen° facturen facturenº numerodefacture nfacture n°facture fatturan fatturanr numerofattura fatturan. facturanº numerodefactura nºfactura facturanum factuurnummer factuurnr",
-    "issue_date": "invoicedate dateofissue issuedate issued date rechnungsdatum datum dated'emission datedefacture datedefacturation datafattura data fechadefactura fechadeemision fecha factuurdatum",
-    "due_date": "duedate due paymentdue payby falligam fallig falligkeit zahlbarbis echeance dated'echeance datedecheance scadenza datascadenza vencimiento fechadevencimiento vervaldatum uiterlijkbetalen",
-    "vendor_tax_id": "vatregno vatregistrationnumber vatno vatnumber vatid vatreg taxid ein ust-idnr ustidnr ust-id ustid steuernummer mwst-nr mwstnr uid uid-nr n°tva ntva numerotva tvaintracommunautaire n°tvaintracom partitaiva p.iva piva nif cif btw-nummer btwnummer btw-nr btwnr",
-    "subtotal": "subtotal sub-total netamount totalnet totalexcl totalexclvat net nettobetrag netto summenetto zwischensumme zwischentotal totalht sous-total imponibile totaleimponibile baseimponible subtotaal totaalexcl",
-    "tax_amount": "vat salestax tax gst mwst zzgl.mwst zzgl.ust ust umsatzsteuer tva montanttva iva btw",
-    "total": "totaldue balancedue amountdue grandtotal total totalamount invoicetotal gesamtbetrag gesamtsumme rechnungsbetrag endbetrag gesamt totalttc netapayer montantttc totale totaledocumento totaleapagare totalfactura importetotal totaal totaalbedrag tebetalen",
-}
-LABELS = {field: words.split() for field, words in LABELS.items()}
+    "invoice_number": [
+        "invoiceno", "invoicenumber", "invoice#", "invoiceid", "inv#", "invno", "rechnungsnummer", "rechnungsnr", "rechnung-nr",
+        "rechnungnr", "facturen°", "facturen", "facturenº", "numerodefacture", "nfacture", "n°facture", "fatturan", "fatturanr",
+        "numerofattura", "fatturan.", "facturanº", "numerodefactura", "nºfactura", "facturanum", "factuurnummer", "factuurnr",
+    ],
+    "issue_date": [
+        "invoicedate", "dateofissue", "issuedate", "issued", "date", "rechnungsdatum", "datum", "dated'emission",
+        "datedefacture", "datedefacturation", "datafattura", "data", "fechadefactura", "fechadeemision", "fecha", "factuurdatum",
+    ],
+    "due_date": [
+        "duedate", "due", "paymentdue", "payby", "falligam", "fallig", "falligkeit", "zahlbarbis", "echeance", "dated'echeance",
+        "datedecheance", "scadenza", "datascadenza", "vencimiento", "fechadevencimiento", "vervaldatum", "uiterlijkbetalen",
+    ],
+    "vendor_tax_id": [
+        "vatregno", "vatregistrationnumber", "vatno", "vatnumber", "vatid", "vatreg", "taxid", "ein", "ust-idnr", "ustidnr",
+        "ust-id", "ustid", "steuernummer", "mwst-nr", "mwstnr", "uid", "uid-nr", "n°tva", "ntva", "numerotva",
+        "tvaintracommunautaire", "n°tvaintracom", "partitaiva", "p.iva", "piva", "nif", "cif", "btw-nummer", "btwnummer",
+        "btw-nr", "btwnr",
+    ],
+    "subtotal": [
+        "subtotal", "sub-total", "netamount", "totalnet", "totalexcl", "totalexclvat", "net", "nettobetrag", "netto",
+        "summenetto", "zwischensumme", "zwischentotal", "totalht", "sous-total", "imponibile", "totaleimponibile",
+        "baseimponible", "subtotaal", "totaalexcl",
+    ],
+    "tax_amount": [
+        "vat", "salestax", "tax", "gst", "mwst", "zzgl.mwst", "zzgl.ust", "ust", "umsatzsteuer", "tva", "montanttva", "iva",
+        "btw",
+    ],
+    "total": [
+        "totaldue", "balancedue", "amountdue", "grandtotal", "total", "totalamount", "invoicetotal", "gesamtbetrag",
+        "gesamtsumme", "rechnungsbetrag", "endbetrag", "gesamt", "totalttc", "netapayer", "montantttc", "totale",
+        "totaledocumento", "totaleapagare", "totalfactura", "importetotal", "totaal", "totaalbedrag", "tebetalen",
+    ],
+}
 # Words of document titles and of table headers, folded; words that announce a discount column.
-TITLES = set("invoice rechnung facture fattura factura factuur taxinvoice billto".split())
-HEADER_WORDS = set("description item items qty quantity unitprice price rate amount total pos pos. beschreibung bezeichnung menge anzahl einzelpreis betrag gesamt designation qte prixunitaireht prixunitaire montantht montant descrizione quantita qta prezzo prezzounitario importo omschrijving aantal prijs bedrag concepto cantidad precio importe".split())
+TITLES = [
+    "invoice", "rechnung", "facture", "fattura", "factura", "factuur", "taxinvoice", "billto",
+]
+HEADER_WORDS = [
+    "description", "item", "items", "qty", "quantity", "unitprice", "price", "rate", "amount", "total", "pos", "pos.",
+    "beschreibung", "bezeichnung", "menge", "anzahl", "einzelpreis", "betrag", "gesamt", "designation", "qte", "prixunitaireht",
+    "prixunitaire", "montantht", "montant", "descrizione", "quantita", "qta", "prezzo", "prezzounitario", "importo",
+    "omschrijving", "aantal", "prijs", "bedrag", "concepto", "cantidad", "precio", "importe",
+]
 DISCOUNT_WORDS = ["dto", "discount", "rabatt", "sconto", "remise", "korting", "desc."]
 
 # National tax-id formats after the country prefix, and prefixes looked for inside glued words.
 TAX_FORMATS = {"AT": r"U\d{8}", "BE": r"[01]\d{9}", "ES": r"[0-9A-Z]\d{7}[0-9A-Z]", "IT": r"\d{11}", "NL": r"\d{9}B\d{2}", "PL": r"\d{10}", "SE": r"\d{12}", "DK": r"\d{8}", "IE": r"\d{7}[A-Z]{1,2}"}
-VAT_PREFIXES = "AT BE BG CY CZ DE DK EE EL ES FI FR GB HR HU IE IT LT LU LV MT NL PL PT RO SE SI SK CH NO".split()
 TAX_ID = r"\b(CHE-?\d{9}|[A-Z]{2}(?=[0-9A-Z]*\d{6})[0-9A-Z]{8,12}|\d{2}-\d{5,8})\b"
-VAT_PREFIXED = rf"((?:{'|'.join(VAT_PREFIXES)})(?=[0-9A-Z]*\d{{6}})[0-9A-Z]{{8,12}})\b"
+VAT_PREFIXED = r"((?:AT|BE|BG|CY|CZ|DE|DK|EE|EL|ES|FI|FR|GB|HR|HU|IE|IT|LT|LU|LV|MT|NL|PL|PT|RO|SE|SI|SK|CH|NO)(?=[0-9A-Z]*\d{6})[0-9A-Z]{8,12})\b"
 
 # What a sink reports as worth another try.
 RETRYABLE = {408, 429, 500, 502, 503, 504}
