@@ -82,11 +82,14 @@ def fit(sample: list[tuple[str, str]]) -> Model | None:
     marks = [at[k] for at in by.values() for k in np.unique(np.linspace(0, len(at) - 1, each).astype(int))]
     grams_of = [b for _, got in distinct_grams(pa.array([t for t, _ in sample]), ORDERS, BITS) for b in got]
     known = np.unique(np.concatenate([grams_of[i] for i in marks]))
-    slots = [np.searchsorted(known, b[np.isin(b, known)]) for b in grams_of]
+    slot_of = np.full(1 << BITS, -1, np.int32)
+    slot_of[known] = np.arange(len(known))
+    slots = [x[x >= 0] for x in (slot_of[b] for b in grams_of)]
     unit = 1 / np.sqrt(np.maximum([len(b) for b in grams_of], 1))
     kernel = np.zeros((len(sample), len(marks)))
-    for (columns, landmarks), (_, block) in zip(presence([slots[i] for i in marks], len(known)), presence(slots, len(known)), strict=True):
-        kernel += block @ landmarks.T
+    for low in range(0, len(sample), BLOCK):
+        for (_, landmarks), (_, block) in zip(presence([slots[i] for i in marks], len(known)), presence(slots[low : low + BLOCK], len(known)), strict=True):
+            kernel[low : low + BLOCK] += block @ landmarks.T
     kernel *= unit[:, None] * unit[marks]
     values, vectors = np.linalg.eigh(kernel[marks])
     keep = values > 1e-6 * max(values.max(initial=0), 1e-12)

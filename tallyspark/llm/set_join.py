@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 
 from .common import MIX, components, cut, drop, mix, ship, spread, table
 
-GROWTH, PENALTY, CHUNK, WORDS, CENTRES, BITMAP = 1.5, 30.0, 1_000_000, 16, 3, 1 << 18
-BUCKET, FLUSH, HOT = 1 << 20, 1 << 21, 64  # keys in a bucket and in a task's buffer; texts of a buffer that make a key hot
+GROWTH, PENALTY, CHUNK, WORDS, CENTRES, BITMAP = 1.5, 30.0, 400_000, 16, 3, 1 << 18
+BUCKET, FLUSH, HOT = 1 << 20, 1 << 19, 64  # keys in a bucket and in a task's buffer; texts of a buffer that make a key hot
 LARGE, WIDE = 1500, 256  # sets of at least LARGE tokens have a second sketch of WIDE words
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -240,8 +240,8 @@ def digested(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, len(whole), 1024):
-                batch = whole.slice(at, 1024)
+            for at in range(0, len(whole), 256):
+                batch = whole.slice(at, 256)
                 sizes, f1, f2, keys, sketches, wides = [], [], [], [], [], []
                 for tokens in token_sets(batch.column(1), n):
                     one, two = fingerprints(tokens)
@@ -335,8 +335,8 @@ def dealt(texts: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffer = Buffer(buckets)
         for whole in batches:
-            for at in range(0, len(whole), 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, len(whole), 128):
+                batch = whole.slice(at, 128)
                 for node, skip, tokens in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), token_sets(batch.column(1), n), strict=True):
                     if len(tokens):
                         one = fingerprints(tokens)[0]
@@ -396,8 +396,8 @@ def meetings(blocks: DataFrame) -> DataFrame:
 def with_tokens(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, len(whole), 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, len(whole), 256):
+                batch = whole.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists(list(token_sets(batch.column(1), n)))], ["node", "tokens"])
 
     return docs.mapInArrow(run, "node long, tokens array<long>")
