@@ -1,4 +1,4 @@
 """Training-data operators: filtering, classification, search, deduplication, tokenising, packing.
 
-Nothing outside this folder imports it, and it imports nothing from the rest of the library.
+Nothing outside this folder imports it; of the rest it imports only what ships the code to Python workers.
 """

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,15 +13,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from tallyspark.shipping import ship as ship_code
+
+ROWS_AT_ONCE = 2048
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where the executors see the same folder."""
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if REPO not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([REPO, *filter(None, paths)])
+    """Give this package to all executors. Texts are long, so Python gets fewer rows at once than the default 10,000."""
+    ship_code(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -46,10 +46,13 @@ def tokenizer(json_path: str) -> Callable[[str], list[int]]:
     import json
     import os
 
-    import tokenizers
+    @functools.cache
+    def model():
+        import tokenizers
 
-    model = tokenizers.Tokenizer.from_file(json_path)
-    whole = lambda text: model.encode(text, add_special_tokens=False).ids
+        return tokenizers.Tokenizer.from_file(json_path)
+
+    whole = lambda text: model().encode(text, add_special_tokens=False).ids
     ranks = json_path.removesuffix(".json") + ".tiktoken"
     if not os.path.exists(ranks):
         return whole
@@ -57,7 +60,10 @@ def tokenizer(json_path: str) -> Callable[[str], list[int]]:
     import tiktoken
 
     with open(json_path, encoding="utf-8") as f:
-        added = [t["content"] for t in json.load(f)["added_tokens"]]
+        kind = f.read()
+    # Only the added tokens are read here; a worker that meets none of them needs no second copy of the vocabulary.
+    found = kind.find("[", kind.find('"added_tokens"'))
+    added = [t["content"] for t in json.JSONDecoder().raw_decode(kind, found)[0]]
     with open(ranks, "rb") as lines:
         known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
