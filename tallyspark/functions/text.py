@@ -32,10 +32,14 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def unaccented(text: Column) -> Column:
+    """Lower case, without accents; Latin letters, combining marks anywhere."""
+    return F.lower(F.regexp_replace(F.translate(text, LATIN_FROM, LATIN_TO), r"\p{M}+", ""))
+
+
 def fold(text: Column) -> Column:
-    """Lower case, without accents and white space; Latin letters, combining marks anywhere. Stays in codegen."""
-    plain = F.regexp_replace(F.translate(text, LATIN_FROM, LATIN_TO), r"\p{M}+", "")
-    return F.regexp_replace(F.lower(plain), r"(?U)\s+", "")
+    """Lower case, without accents and white space."""
+    return F.regexp_replace(unaccented(text), r"(?U)\s+", "")
 
 
 def fold_python(text: str) -> str:

@@ -43,6 +43,11 @@ def lines_sum(items: Column) -> Column:
     return F.aggregate(items, _dec("0", "decimal(18,2)"), lambda a, x: (a + x["amount"]).cast("decimal(18,2)"))
 
 
+def money(value: Column) -> Column:
+    """To cents, half away from zero, as decimal(18,2)."""
+    return F.round(value, 2).cast("decimal(18,2)")
+
+
 def missing(value: Column) -> Column:
     return value.isNull() | (value.cast("string") == "")
 

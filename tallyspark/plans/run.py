@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import keys, reporting, validation
 from tallyspark.operators.batching import numbered
-from tallyspark.operators.extraction import extract
+from tallyspark.operators.extraction import extract, unkeep
 from tallyspark.operators.reconciliation import reconcile
 from tallyspark.schemas import FILES, INVOICE_HEADER, LINE_HEADER
 from tallyspark.sources.inbox import second_readings
@@ -24,8 +24,10 @@ HEADERS = {"invoices": INVOICE_HEADER, "line_items": LINE_HEADER}
 
 def read_documents(pages: DataFrame, as_of: dt.date, ask: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Pages to sha256, name, invoice, method, confidence, notes, conflicts, issues; doubtful scans get a second reading where there is one."""
-    first = extract(pages).withColumn("issues", validation.issues(F.col("invoice"), as_of, F.col("confidence")))
+    got = extract(pages)
+    first = got.withColumn("issues", validation.issues(F.col("invoice"), as_of, F.col("confidence")))
     if ask is None:
+        first.kept = got.kept
         return first
     routed = validation.needs_second_reading(F.col("method"), F.col("issues"))
     replies = second_readings(ask(first.where(routed).select("sha256", "name", "raw_text")))
@@ -33,7 +35,9 @@ def read_documents(pages: DataFrame, as_of: dt.date, ask: Callable[[DataFrame],
     out = reconcile(both).withColumn("hit", F.col("out").isNotNull() & routed)
     pick = lambda c: F.when(F.col("hit"), F.col(f"out.{c}")).otherwise(F.col(c)).alias(c)
     merged = out.select("sha256", "name", "raw_text", *map(pick, ("invoice", "method", "confidence", "notes", "conflicts")))
-    return merged.withColumn("issues", validation.issues(F.col("invoice"), as_of, F.col("confidence"), conflicts=F.col("conflicts")))
+    out = merged.withColumn("issues", validation.issues(F.col("invoice"), as_of, F.col("confidence"), conflicts=F.col("conflicts")))
+    out.kept = got.kept
+    return out
 
 
 def process(pages: DataFrame, state: State, as_of: dt.date, ask: Callable[[DataFrame], DataFrame] | None = None, now: dt.datetime | None = None) -> dict[str, int]:
@@ -42,7 +46,8 @@ def process(pages: DataFrame, state: State, as_of: dt.date, ask: Callable[[DataF
     base = (files.agg(F.max("seq")).first()[0] or 0) + 1
     ordered = numbered(pages.select("sha256", "name"), "name").select("sha256", "name", (F.col("number") + base).alias("seq"))
     fresh = keys.unseen(ordered, files)
-    docs = read_documents(pages.join(fresh.select("sha256", "name"), ["sha256", "name"], "left_semi").dropDuplicates(["sha256"]), as_of, ask).join(fresh.select("sha256", "seq"), "sha256")
+    read = read_documents(pages.join(fresh.select("sha256", "name"), ["sha256", "name"], "left_semi").dropDuplicates(["sha256"]), as_of, ask)
+    docs = read.join(fresh.select("sha256", "seq"), "sha256")
     named = docs.withColumn("vendor_name", F.col("invoice.vendor_name")).withColumn("tax_id", F.col("invoice.vendor_tax_id"))
     learnt = keys.learnt_vendors(named, vendors)
     enriched = keys.enrich_from_registry(named, vendors).withColumn("invoice", F.col("invoice").withField("vendor_name", F.col("vendor_name")))
@@ -59,6 +64,7 @@ def process(pages: DataFrame, state: State, as_of: dt.date, ask: Callable[[DataF
         state.commit(files=files.unionByName(records), vendors=vendors.unionByName(learnt), outbox=keys.merge_outbox(outbox, new))
     finally:
         records.unpersist()
+        unkeep(read)
     return {"processed": sum(counts.values()), **counts}
 
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyspark import fixtures
+from tallyspark import fixtures, pages
 from tallyspark.fixtures import ARRIVAL_SQL, INV_SQL, LINE_SQL, VENDOR_SQL, read
 from tallyspark.functions import taxid, text
-from tallyspark.operators import keys, layout, reconciliation, reporting, validation
-from tallyspark.schemas import CURRENCY_CODES, CURRENCY_SYMBOLS, LABELS, REQUIRED, SUSPICIOUS, TAX_FORMATS
+from tallyspark.operators import extraction, keys, layout, reconciliation, reporting, validation
+from tallyspark.schemas import CELL, CURRENCY_CODES, CURRENCY_SYMBOLS, LABELS, REQUIRED, SUSPICIOUS, TAX_FORMATS
 
 AS_OF = dt.date.fromisoformat(fixtures.AS_OF)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -507,24 +507,44 @@ def vendor_name_topk(spark, d):
 
 
 def _pages(spark, d):
-    return layout.synthetic_pages(fixtures.invoices(spark, d))
+    return pages.synthetic_pages(fixtures.invoices(spark, d))
 
 
-@query()
+@query("""
+with word as (select l_orderkey as page, l_linenumber as line, l_partkey, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_extendedprice) as pos from lineitem),
+line as (select page, line, string_agg('p' || cast(l_partkey as varchar) || ' x', '  ' order by pos) as t from word group by 1, 2)
+select page, count(*) as n_lines, string_agg(t, chr(10) order by line) as text from line group by page""")
 def line_clustering(spark, d):
-    """Cells in lines: texts of each synthetic page."""
-    return layout.with_lines(_pages(spark, d)).select("sha256", F.size("lines").alias("n_lines"), layout.page_text(F.col("lines")).alias("text"))
-
-
-@query()
+    """Words with places become lines of cells: close words of a line merge, wider gaps part columns, tops that differ a little are one line."""
+    order = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice")
+    item = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.row_number().over(order).alias("pos"))
+    left, top = F.col("pos") * 100.0, F.col("l_linenumber") * 20.0 + F.col("pos") % 2
+    word = lambda t, x, y: F.struct(t.alias("text"), x.alias("x0"), (x + 40).alias("x1"), y.alias("top"), (y + 9).alias("bottom"), F.lit(9.0).alias("size"), F.lit(False).alias("bold"))
+    words = F.array(word(F.concat(F.lit("p"), F.col("l_partkey").cast("string")), left, top), word(F.lit("x"), left + 43, top + 1))
+    cells = F.flatten(F.collect_list(words)).cast(f"array<{CELL}>")
+    page = item.groupBy("l_orderkey").agg(cells.alias("cells")).select(F.col("l_orderkey").alias("page"), "cells", F.lit("text").alias("source"))
+    return layout.with_lines(page).select("page", F.size("lines").alias("n_lines"), layout.page_text(F.col("lines")).alias("text"))
+
+
+_STYLE = f"{[s.name for s in pages.STYLES]}[cast(order_key % {len(pages.STYLES)} + 1 as integer)]"
+_PRINTED_SQL = f"""{INV_SQL}, named as (select *, {_STYLE} as style, translate(vendor_name, '#0123456789', ' ABCDEFGHIJ') as shown from inv),
+page as (select sha256, order_key, style, case when style = 'us' then upper(shown) else shown end as vendor_name, vendor_tax_id, invoice_number, issue_date, due_date,
+  case when style = 'it' then 'EUR' when style = 'ch' then 'CHF' when n_lines = 0 then null when style = 'us' then 'USD' when style = 'uk' then 'GBP' else 'EUR' end as currency,
+  subtotal, tax_rate, tax_amount, total, method from named)"""
+
+
+@query(f"""with {_PRINTED_SQL}, counted as (select *, (vendor_name is not null)::int + (vendor_tax_id is not null)::int + (invoice_number is not null)::int + (issue_date is not null)::int + (currency is not null)::int + (total is not null)::int as found from page)
+select sha256, vendor_name, vendor_tax_id, invoice_number, issue_date, due_date, currency, subtotal, tax_rate, tax_amount, total, round(found / 6 * case when method = 'ocr' then 0.9 else 1 end, 3) as confidence from counted""")
 def extract_fields(spark, d):
-    from tallyspark.operators.extraction import extract
+    """What is read from the printed pages of all invoices, in eight styles and from scans, is what was printed."""
+    got = extraction.extract(_pages(spark, d))
+    fields = ["vendor_name", "vendor_tax_id", "invoice_number", "issue_date", "due_date", "currency", "subtotal", "tax_rate", "tax_amount", "total"]
+    return got.select("sha256", *_fields("invoice", *fields), "confidence")
 
-    return extract(_pages(spark, d)).select("sha256", *_fields("invoice", *REQUIRED, "due_date", "subtotal", "tax_amount"), "confidence")
 
-
-@query()
+@query(f"""with {_PRINTED_SQL}
+select sha256, cast(line_no - 1 as integer) as pos, regexp_replace(p.description, '[0-9#]', 'x', 'g') as description, quantity, unit_price, amount, case when style = 'es' and discount_percent > 0 then discount_percent end as discount_percent
+from page join priced p using (order_key)""")
 def line_item_table(spark, d):
-    from tallyspark.operators.extraction import extract
-
-    return extract(_pages(spark, d)).select("sha256", F.posexplode("invoice.line_items").alias("pos", "item")).select("sha256", "pos", "item.*")
+    """All lines of all pages: wrapped descriptions, rate and discount columns, quantities and separators that a scan lost."""
+    return extraction.extract(_pages(spark, d)).select("sha256", F.posexplode("invoice.line_items").alias("pos", "item")).select("sha256", "pos", "item.*")

@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import taxid, text
-from tallyspark.operators import extraction
 
 AMOUNTS = [("£2,258.26", "2258.26"), ("3.156,55 €", "3156.55"), ("1 487,78 €", "1487.78"), ("1 487,78", "1487.78"), ("3.202.08", "3202.08"), ("1'234.50", "1234.50"), ("-12,00", "-12.00"), ("12,5", "125"), ("1.5", "15"), ("0.125", "125"), ("no digits", None), ("", None), (",50", "0.50")]
 DATES = [("07 Sep 2026", "dmy", (2026, 9, 7)), ("07.09.2026", "dmy", (2026, 9, 7)), ("09/07/2026", "mdy", (2026, 9, 7)), ("09/07/2026", "dmy", (2026, 7, 9)), ("2026-09-07", "mdy", (2026, 9, 7)), ("7. März 2026", "dmy", (2026, 3, 7)), ("Sep 7, 2026", "dmy", (2026, 9, 7)), ("31.02.2026", "dmy", None), ("7.9.26", "dmy", (2026, 9, 7)), ("5 août 2026", "dmy", (2026, 8, 5)), ("nothing", "dmy", None), ("12 Foo 2026", "dmy", None)]
@@ -23,14 +22,12 @@ def read(spark, values, f):
 def test_amounts(spark):
     expected = [None if e is None else Decimal(e) for _, e in AMOUNTS]
     assert read(spark, [t for t, _ in AMOUNTS], text.parse_amount) == expected
-    assert [extraction.amount_of(t) for t, _ in AMOUNTS] == expected
 
 
 def test_dates(spark):
     for order in ("dmy", "mdy"):
         cases = [(t, e and dt.date(*e)) for t, o, e in DATES if o == order]
         assert read(spark, [t for t, _ in cases], lambda c, o=order: text.parse_date(c, o)) == [e for _, e in cases]
-        assert [extraction.date_of(t, order) for t, _ in cases] == [e for _, e in cases]
 
 
 def test_numbers_and_percents(spark):
@@ -38,7 +35,6 @@ def test_numbers_and_percents(spark):
     for t, sep, e in cases:
         e = None if e is None else Decimal(e)
         assert read(spark, [t], lambda c, s=sep: text.parse_number(c, F.lit(s))) == [e]
-        assert extraction.number_of(t, sep) == e
     assert read(spark, ["VAT 20 %", "8,875%", "none"], text.parse_percent) == [Decimal("20"), Decimal("8.875"), None]
 
 
@@ -53,8 +49,6 @@ def test_currency_and_cells(spark):
     assert read(spark, ["€ 5 GBP", "5 CHF", "ABC XYZ", "USD EUR"], text.find_currency) == ["EUR", "CHF", None, "USD"]
     assert read(spark, ["1.234,56 €", "EUR 5", "abc", "- 5", "12x"], text.is_numeric) == [True, True, False, True, False]
     assert read(spark, ["GB 526 0181 74", "CHE-123.456.789"], text.compact_ids) == ["GB526018174", "CHE123456789"]
-    for t in ("1.234,56 €", "EUR 5", "abc", "12x"):
-        assert read(spark, [t], text.is_numeric) == [extraction.is_numeric(t)]
 
 
 # An independent maker of valid ids.

@@ -7,8 +7,9 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators import keys, layout, reconciliation, validation
-from tallyspark.operators.extraction import label_of
+from tallyspark.functions import text
+from tallyspark.operators import extraction, keys, layout, reconciliation, validation
+from tallyspark.pages import STYLES, synthetic_pages
 from tallyspark.plans import run as plans
 from tallyspark.schemas import INVOICE, INVOICE_FIELDS, PAGE
 from tallyspark.sources.sinks import FileSink, FlakySink, SinkError, make_sink, with_retry
@@ -54,14 +55,23 @@ def test_two_readings(spark):
     assert kept["invoice"]["line_items"][0]["discount_percent"] == 10
 
 
-def test_labels():
-    assert label_of("Rechnungsnummer:") == ("invoice_number", "rechnungsnummer")
-    assert label_of("Rechnungsnumner:")[0] == "invoice_number"
-    assert label_of("VAT Reg No")[0] == "vendor_tax_id"
-    assert label_of("VAT number NL8829")[0] == "vendor_tax_id"
-    assert label_of("Data Systems Ltd") is None
-    assert label_of("Total Due")[0] == "total"
-    assert label_of("") is None
+def test_labels(spark):
+    cases = {
+        "Rechnungsnummer:": ("invoice_number", "rechnungsnummer"),
+        "Rechnungsnumner:": ("invoice_number", "rechnungsnummer"),
+        "VAT Reg No": ("vendor_tax_id", "vatregno"),
+        "VAT number NL8829": ("vendor_tax_id", "vatnumber"),
+        "Data Systems Ltd": None,
+        "Total Due": ("total", "totaldue"),
+        "Rechnungsbetrag CHF": ("total", "rechnungsbetrag"),
+        "USt-ldNr": ("vendor_tax_id", "ust-idnr"),
+        "Nº Factura: 7": ("invoice_number", "nºfactura"),
+        "": None,
+        "12.50": None,
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    got = {r["t"]: r["m"] and (r["m"]["field"], r["m"]["label"]) for r in df.select("t", extraction.label_of(text.fold(F.col("t")), F.col("t")).alias("m")).collect()}
+    assert got == cases
 
 
 def as_invoices(spark, invoices):
@@ -82,7 +92,7 @@ def documents(n=12):
 
 @pytest.fixture
 def pages(spark):
-    return layout.synthetic_pages(as_invoices(spark, documents()))
+    return synthetic_pages(as_invoices(spark, documents()))
 
 
 def test_extraction_is_exact(spark, pages):
@@ -94,7 +104,7 @@ def test_extraction_is_exact(spark, pages):
         for f in INVOICE_FIELDS:
             if f not in ("vendor_name", "line_items", "currency", "tax_rate"):
                 assert g[f] == inv[f], (i, f)
-        assert g["currency"] == ("EUR" if i % 2 == 0 else "USD")
+        assert g["currency"] == STYLES[i % len(STYLES)].currency
         assert [(x["quantity"], x["amount"]) for x in g["line_items"]] == [(x["quantity"], x["amount"]) for x in inv["line_items"]]
 
 
@@ -148,7 +158,7 @@ def test_crash_between_write_and_mark(spark, pages, tmp_path):
 def test_duplicates_conflicts_and_registry(spark, tmp_path):
     base = documents(4)
     changed = base[1] | {"total": base[1]["total"] + 5}
-    sent = layout.synthetic_pages(as_invoices(spark, [*base[:2], base[0], changed]).withColumn("order_key", F.lit(0).cast("long")))
+    sent = synthetic_pages(as_invoices(spark, [*base[:2], base[0], changed]).withColumn("order_key", F.lit(0).cast("long")))
     state = State(spark, str(tmp_path / "state"))
     got = plans.process(sent, state, AS_OF)
     assert got["duplicate"] == 1 and got["needs_review"] == 1
@@ -162,7 +172,7 @@ def test_duplicates_conflicts_and_registry(spark, tmp_path):
 
 
 def test_second_reader(spark, tmp_path):
-    scan = layout.synthetic_pages(as_invoices(spark, [documents(1)[0] | {"invoice_number": None}])).withColumn("source", F.lit("ocr")).withColumn("cells", F.filter("cells", lambda c: ~c["text"].startswith("R-")))
+    scan = synthetic_pages(as_invoices(spark, [documents(1)[0] | {"invoice_number": None}])).withColumn("source", F.lit("ocr")).withColumn("cells", F.filter("cells", lambda c: ~c["text"].startswith("R-")))
     reply = json.dumps({"invoice_number": "R-0", "vendor_tax_id": "DE136695976", "total": "59.50", "line_items": [{"description": "x", "quantity": "a", "unit_price": "1", "amount": "1"}], "subtotal": None})
     ask = lambda docs: docs.select("sha256", F.lit(reply).alias("json"))
     before = plans.read_documents(scan, AS_OF).first()
