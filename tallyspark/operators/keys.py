@@ -1,13 +1,12 @@
 """Keys, duplicates, the vendor registry, and what goes to the sheets. Set-based forms of a run in order of seq.
 
-First-per-key is a minimum by key, combined before the shuffle and joined back, so a key that many
-documents share is never gathered in one task; only the registry, which needs each document's
-predecessors, orders the documents of one tax id.
+First-per-key, and the registry's first teacher of a tax id, are minima by key, combined before the shuffle and
+joined back, so a key that many documents share is never gathered in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import taxid
@@ -23,8 +22,8 @@ def invoice_key(tax_id: Column, number: Column, sha: Column) -> Column:
 
 def unseen(files: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """The first file of each content hash, by (seq, name), that the state does not hold."""
-    firsts = files.groupBy("sha256").agg(F.min(F.struct("seq", "name")).alias("f")).select("sha256", "f.seq", "f.name")
-    out = files.join(firsts, ["sha256", "seq", "name"], "left_semi").dropDuplicates(["sha256"])
+    others = [c for c in files.columns if c != "sha256"]
+    out = files.groupBy("sha256").agg(F.min_by(F.struct(*others), F.struct("seq", "name")).alias("f")).select("sha256", *[F.col("f")[c].alias(c) for c in others]).select(*files.columns)
     return out if state is None else out.join(state.select("sha256"), "sha256", "left_anti")
 
 
@@ -67,9 +66,10 @@ def enrich_from_registry(docs: DataFrame, vendors: DataFrame | None = None) -> D
     """
     tid = F.when(taxid.check(F.col("tax_id"))["valid"], taxid.normalize(F.col("tax_id")))
     teaches = (F.col("method") == "text") & (F.coalesce("vendor_name", F.lit("")) != "") & F.col("_tid").isNotNull()
-    before = Window.partitionBy("_tid").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     out = docs.withColumn("_tid", tid)
-    valid = out.where("_tid is not null").withColumn("_known", F.first(F.when(teaches, F.col("vendor_name")), ignorenulls=True).over(before))
+    # The first teacher of an id is what all later documents know; a document never learns from itself.
+    teacher = out.where(teaches).groupBy("_tid").agg(F.min_by("vendor_name", "seq").alias("_name"), F.min("seq").alias("_from"))
+    valid = out.where("_tid is not null").join(teacher, "_tid", "left").withColumn("_known", F.when(F.col("_from") < F.col("seq"), F.col("_name"))).drop("_name", "_from")
     if vendors is not None:
         valid = valid.join(vendors.select(F.col("tax_id").alias("_tid"), F.col("name").alias("_old")), "_tid", "left").withColumn("_known", F.coalesce("_old", "_known")).drop("_old")
     out = valid.unionByName(out.where("_tid is null"), allowMissingColumns=True)

@@ -46,8 +46,14 @@ def process(pages: DataFrame, state: State, as_of: dt.date, ask: Callable[[DataF
     base = (files.agg(F.max("seq")).first()[0] or 0) + 1
     ordered = numbered(pages.select("sha256", "name"), "name").select("sha256", "name", (F.col("number") + base).alias("seq"))
     fresh = keys.unseen(ordered, files)
+    if fresh.isEmpty():
+        return {"processed": 0}
     read = read_documents(pages.join(fresh.select("sha256", "name"), ["sha256", "name"], "left_semi").dropDuplicates(["sha256"]), as_of, ask)
-    docs = read.join(fresh.select("sha256", "seq"), "sha256")
+    # The reading is the expensive part and used by all that follows: it is written once.
+    path = f"{state.folder}/reading"
+    read.write.mode("overwrite").parquet(path)
+    unkeep(read)
+    docs = state.spark.read.schema(read.schema).parquet(path).join(fresh.select("sha256", "seq"), "sha256")
     named = docs.withColumn("vendor_name", F.col("invoice.vendor_name")).withColumn("tax_id", F.col("invoice.vendor_tax_id"))
     learnt = keys.learnt_vendors(named, vendors)
     enriched = keys.enrich_from_registry(named, vendors).withColumn("invoice", F.col("invoice").withField("vendor_name", F.col("vendor_name")))
@@ -64,7 +70,6 @@ def process(pages: DataFrame, state: State, as_of: dt.date, ask: Callable[[DataF
         state.commit(files=files.unionByName(records), vendors=vendors.unionByName(learnt), outbox=keys.merge_outbox(outbox, new))
     finally:
         records.unpersist()
-        unkeep(read)
     return {"processed": sum(counts.values()), **counts}
 
 
@@ -76,40 +81,29 @@ def sync(state: State, sink: Sink, batch_size: int = 100, prune: bool = False, *
         stats["retries"] += 1
 
     for sheet, header in HEADERS.items():
-        done: list[tuple[str, str, str]] = []
         waiting = keys.pending(state.read("outbox")).where(F.col("sheet") == sheet).orderBy("row_key").select("row_key", "row", "row_hash")
         batch: list = []
 
-        def push(rows: list, sheet: str = sheet, header: list[str] = header, done: list = done) -> None:
+        def push(rows: list, sheet: str = sheet, header: list[str] = header) -> None:
             grid = [[json.loads(r["row"]).get(c) for c in header] for r in rows]
             got = with_retry(lambda: sink.upsert(sheet, header, grid), on_retry=again, **retry)
             stats["updated"] += got["updated"]
             stats["appended"] += got["appended"]
-            done += [(sheet, r["row_key"], r["row_hash"]) for r in rows]
-
-        try:
-            for row in waiting.toLocalIterator():  # one partition at a time comes to the driver, which is the sink's only client
-                batch.append(row)
-                if len(batch) == batch_size:
-                    push(batch)
-                    batch = []
-            if batch:
+            state.ack([(sheet, r["row_key"], r["row_hash"]) for r in rows])
+
+        for row in waiting.toLocalIterator():  # one partition at a time comes to the driver, which is the sink's only client
+            batch.append(row)
+            if len(batch) == batch_size:
                 push(batch)
-        finally:
-            if done:
-                mark_synced(state, done)
+                batch = []
+        if batch:
+            push(batch)
         if prune:
             keep = {r[0] for r in state.read("outbox").where(F.col("sheet") == sheet).select("row_key").toLocalIterator()}
             stats["pruned"] += with_retry(lambda s=sheet, k=keep: sink.prune(s, k), on_retry=again, **retry)
     return stats
 
 
-def mark_synced(state: State, done: list[tuple[str, str, str]]) -> None:
-    acked = state.spark.createDataFrame(done, "sheet string, row_key string, acked string")
-    out = state.read("outbox").join(acked, ["sheet", "row_key"], "left")
-    state.commit(outbox=out.withColumn("synced_hash", F.coalesce("acked", "synced_hash")).drop("acked"))
-
-
 def report(state: State, folder: str) -> None:
     """report.md and review_queue.csv."""
     files = state.read("files").persist()

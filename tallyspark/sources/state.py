@@ -2,14 +2,19 @@
 
 A commit writes all tables of a version, then moves the pointer. A crash before that leaves the old
 version in force. One writer is assumed. Works on any file system that Spark reads.
+
+What a sink has taken is appended to the version's acks, batch by batch, without writing its tables again; it is
+part of the outbox as read, and goes into the next version's.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyspark.schemas import FILES, OUTBOX, VENDORS
 
+ACKS = "sheet string, row_key string, acked string"
 TABLES = {"files": FILES, "vendors": VENDORS, "outbox": OUTBOX}
 
 
@@ -38,7 +43,17 @@ class State:
         n = self.version()
         if not n:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/v={n}/{name}")
+        table = self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/v={n}/{name}")
+        acks = self._path(f"v={n}/acks")
+        if name != "outbox" or not acks.getFileSystem(self._conf).exists(acks):
+            return table
+        taken = self.spark.read.schema(ACKS).parquet(f"{self.folder}/v={n}/acks").distinct()
+        both = table.join(taken, ["sheet", "row_key"], "left")
+        return both.withColumn("synced_hash", F.coalesce("acked", "synced_hash")).select(*table.columns)
+
+    def ack(self, rows: list[tuple[str, str, str]]) -> None:
+        """(sheet, row_key, row_hash) of one batch, which the sink has now."""
+        self.spark.createDataFrame(rows, ACKS).coalesce(1).write.mode("append").parquet(f"{self.folder}/v={self.version()}/acks")
 
     def commit(self, **changed: DataFrame) -> int:
         """A new version with the changed tables and the others as they were."""

@@ -155,6 +155,26 @@ def test_crash_between_write_and_mark(spark, pages, tmp_path):
     assert state.version() == version + 1 and state.read("files").count() == 12
 
 
+def test_each_batch_is_acknowledged(spark, pages, tmp_path):
+    state = State(spark, str(tmp_path / "state"))
+    plans.process(pages, state, AS_OF)
+    calls = []
+
+    class DiesLater(FileSink):
+        def upsert(self, sheet, header, rows):
+            calls.append(len(rows))
+            if len(calls) == 3:
+                raise KeyboardInterrupt
+            return super().upsert(sheet, header, rows)
+
+    with pytest.raises(KeyboardInterrupt):
+        plans.sync(state, DiesLater(str(tmp_path / "a")), batch_size=4)
+    assert keys.pending(state.read("outbox")).count() == 24 - 8
+    assert plans.sync(state, FileSink(str(tmp_path / "a")), batch_size=4)["updated"] == 0
+    state.commit()
+    assert keys.pending(state.read("outbox")).count() == 0
+
+
 def test_duplicates_conflicts_and_registry(spark, tmp_path):
     base = documents(4)
     changed = base[1] | {"total": base[1]["total"] + 5}
@@ -213,6 +233,17 @@ def test_sinks(tmp_path):
     with pytest.raises(SinkError):
         with_retry(lambda: (_ for _ in ()).throw(SinkError(404)), sleep=waits.append)
     assert len(waits) == 6
+    asked = []
+
+    def busy():
+        asked.append(1)
+        if len(asked) < 4:
+            raise [SinkError(429, retry_after=0.0), SinkError(503, retry_after=9.0), ConnectionError()][len(asked) - 1]
+        return "done"
+
+    waits.clear()
+    assert with_retry(busy, sleep=waits.append, base=4.0) == "done"
+    assert len(waits) == 3 and waits[0] > 0 and waits[1] >= 9.0
     assert make_sink("none") is None
     with pytest.raises(ValueError):
         make_sink("ftp:x")
