@@ -7,7 +7,6 @@ through the filters like any other and belongs to no group of near duplicates.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import language_id, packing, quality, set_join
-from tallyspark.llm.common import cut, held_out, ship, table
+from tallyspark.llm.common import cut, held_out, shared_folder, ship, table
 
 LEAST_LANGUAGE = 0.3  # below: no known language claims the text
 SHINGLE, PERCENT = 5, 80
@@ -63,9 +62,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     twice = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     touched = cut(gone.union(twice).distinct())
-    marked = set_join.mark_held(docs, "doc_id", touched)
-    kept = marked.where("not _held").drop("_held")
-    doubtful = marked.where("_held").drop("_held").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    held = "held_"
+    while any(c.lower().startswith(held) for c in docs.columns):
+        held += "_"
+    marked = set_join.mark_held(docs, "doc_id", touched, held)
+    kept = marked.where(~F.col(held)).drop(held)
+    doubtful = marked.where(held).drop(held).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
     return kept.union(doubtful.select(*docs.columns))
 
 
@@ -83,8 +85,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyspark-pipeline-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
