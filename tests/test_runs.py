@@ -90,9 +90,12 @@ def documents(n=12):
     return out
 
 
-@pytest.fixture
-def pages(spark):
-    return synthetic_pages(as_invoices(spark, documents()))
+@pytest.fixture(scope="module")
+def pages(spark, tmp_path_factory):
+    """Written once, as a reader's pages are."""
+    path = str(tmp_path_factory.mktemp("pages") / "pages")
+    synthetic_pages(as_invoices(spark, documents())).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def test_extraction_is_exact(spark, pages):
